@@ -5,19 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridfold.llm import exact_dedup
+from gridfold.llm import exact_dedup, mixing, packing, pivot_search
 from gridfold.llm.common import table
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").filter(pivot_search.usable(F.col("embedding")))
+    vectors = vectors.select("vec_id", pivot_search.quantised(F.col("embedding")).alias("embedding"))
+    found = pivot_search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.schedule(docs, mixing.by_temperature(0.5))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), packing.vocabulary())
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_topk_search": op4_topk_search,
+    "op5_mixing": op5_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_topk_search": pivot_search.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
