@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import exact_dedup, mixing, packing, pivot_search
+from gridfold.llm import exact_dedup, mixing, packing, pivot_search, toxicity
 from gridfold.llm.common import table
 
 
@@ -23,6 +23,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(docs, mixing.by_temperature(0.5))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, toxicity.training_rows(table(spark, sf_dir, "labels")))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup_report(table(spark, sf_dir, "documents"))
 
@@ -35,6 +43,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_topk_search": op4_topk_search,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
 }
