@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import exact_dedup, mixing, packing, pivot_search, toxicity
+from gridfold.llm import exact_dedup, mixing, near_dedup, packing, pivot_search, toxicity
 from gridfold.llm.common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").filter(pivot_search.usable(F.col("embedding")))
     vectors = vectors.select("vec_id", pivot_search.quantised(F.col("embedding")).alias("embedding"))
@@ -41,6 +45,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op4_topk_search": op4_topk_search,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
