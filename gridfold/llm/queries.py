@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm import exact_dedup, html_text, mixing, near_dedup, packing, pivot_search, toxicity
+from gridfold.llm import chat, exact_dedup, html_text, mixing, near_dedup, packing, pivot_search, quality, toxicity
 from gridfold.llm.common import table
 
 
@@ -15,6 +15,22 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = chat.lines_of(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text")
+    ranked = chat.ranked_lines(lines, "chat")
+    model = chat.train(ranked.filter(F.crc32(F.col("conv").cast("string")) % 5 != 0))
+    held = F.crc32(F.col("conv_id").cast("string")) % 5 == 0
+    return chat.format_chat(ranked, model).withColumn("held_out", held)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").withColumn("grade", quality.graded(F.col("quality"), F.col("toxic")))
+    model = quality.train(docs, labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), n_grades=3)
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return quality.score(docs, model, tail=1).select("doc_id", held.alias("held_out"), "expected_grade", "tail_probability", "grade")
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").filter(pivot_search.usable(F.col("embedding")))
     vectors = vectors.select("vec_id", pivot_search.quantised(F.col("embedding")).alias("embedding"))
@@ -50,6 +66,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_chat_format": op2_chat_format,
+    "op3_quality": op3_quality,
     "op4_topk_search": op4_topk_search,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
