@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.llm.common import materialise
-from gridfold.llm.ranking import rank_within
+from gridfold.llm.ranking import rank_within, unpacked
 
 ROLES = ["system", "user", "assistant", "other"]
 N = len(ROLES)
@@ -74,7 +74,7 @@ class Model:
 def ranked_lines(lines: DataFrame, name: str) -> DataFrame:
     """Lines with their rank in the conversation, by place in it; spread evenly also where a conversation is very long."""
     laid = lines.repartitionByRange("conv", "place_in", "nth", "at").sortWithinPartitions("conv", "place_in", "nth", "at")
-    return rank_within(laid, "conv", name)[0]
+    return rank_within(laid, "conv", name)[0].select(*unpacked(laid.columns), "rank")
 
 
 def train(ranked: DataFrame) -> Model:

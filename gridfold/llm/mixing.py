@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridfold.llm.ranking import rank_within
+from gridfold.llm.ranking import rank_within, unpacked
 
 BLOCK_ROWS = 32
 #: Slots in which every source's share is a whole number; there are at least four for each source.
@@ -88,16 +88,15 @@ def schedule(
 ) -> DataFrame:
     """``docs`` with ``block`` (of its source), ``slot`` and ``in_block``: the mixed order is by slot, then in_block.
 
-    ``weights`` are the targets by source, or a function that makes them from the sources' row counts. Within a source,
+    Columns of ``docs`` of these three names are replaced. ``weights`` are the targets by source, or a function that makes them from the sources' row counts. Within a source,
     rows come in an order hashed from id and ``seed``. A null source is a source of its own; a null id is as good as any;
     rows with equal ids each get a place. A source without a positive weight raises ValueError, as do more
     than ``MAX_SOURCES`` sources. An empty table gives none.
     """
     spark = docs.sparkSession
-    laid = docs.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
-    laid = laid.repartitionByRange(source_col, "_h", id_col).sortWithinPartitions(source_col, "_h", id_col).drop("_h")
-    ranked, counts = rank_within(laid, source_col, "mixing", "_rank")
-    rows = {r[source_col]: r["n"] for r in counts.limit(MAX_SOURCES + 1).collect()}
+    order = [F.col(f"`{source_col}`"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)), F.col(f"`{id_col}`")]
+    ranked, counts = rank_within(docs.repartitionByRange(*order).sortWithinPartitions(*order), source_col, "mixing")
+    rows = {r["key"]: r["n"] for r in counts.limit(MAX_SOURCES + 1).collect()}
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; give them fewer names")
     target = weights(rows) if callable(weights) else weights
@@ -105,15 +104,11 @@ def schedule(
         raise ValueError(f"no positive weight for {missing}")
     plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, target, period)
     kind = docs.schema[source_col].dataType.simpleString()
-    table = F.broadcast(spark.createDataFrame(plan, f"_of {kind}, _first long, _last long, _start long, _every long, _slots array<int>"))
-    j, share = F.col("block") - F.col("_first"), F.size("_slots")
-    return (
-        ranked.withColumn("block", F.floor(F.col("_rank") / block_rows))
-        .join(table, F.col(source_col).eqNullSafe(F.col("_of")) & F.col("block").between(F.col("_first"), F.col("_last")))
-        .withColumn("slot", F.col("_start") + F.floor(j / share) * F.col("_every") + F.element_at("_slots", (j % share + 1).cast("int")))
-        .withColumn("in_block", F.col("_rank") % block_rows)
-        .drop("_rank", *table.columns)
-    )
+    table = F.broadcast(spark.createDataFrame(plan, f"of {kind}, first long, last long, start long, every long, slots array<int>"))
+    j, share = F.col("block") - F.col("first"), F.size("slots")
+    placed = ranked.withColumn("block", F.floor(F.col("rank") / block_rows)).join(table, F.col("key").eqNullSafe(F.col("of")) & F.col("block").between(F.col("first"), F.col("last")))
+    slot = F.col("start") + F.floor(j / share) * F.col("every") + F.element_at("slots", (j % share + 1).cast("int"))
+    return placed.select(*unpacked(docs.columns, ("block", "slot", "in_block")), "block", slot.alias("slot"), (F.col("rank") % block_rows).alias("in_block"))
 
 
 def mix(docs: DataFrame, weights: dict | Weights, source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:

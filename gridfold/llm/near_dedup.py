@@ -151,3 +151,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = named.groupBy("label").agg(F.min("class_id").alias("group_id"))
     named = named.join(ids, "label").select("class", "class_id", "group_id")
     return sketch.select(F.col("id").alias(id_col), "class").join(named, "class").select(id_col, "class_id", "group_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of its group, with all their columns. Rows with the same id stay or go
+    together: they go if any of them is in a group with a lesser id."""
+    groups = near_groups(docs, id_col, text_col, threshold)
+    gone = groups.filter(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.llm.ranking import rank_within
+from gridfold.llm.ranking import rank_within, unpacked
 
 CAPACITY = 1024
 END_ID = 2
@@ -105,15 +105,16 @@ def _piece_batch(keys: pa.Array, rows: list[tuple], schema: pa.Schema) -> pa.Rec
 def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: each piece's place, gapless from offset 0 in every sequence.
 
-    ``pieces`` needs a column ``length`` from 1 to ``capacity``; all its other columns are kept. Pieces of one length are
+    ``pieces`` needs a column ``length`` from 1 to ``capacity``; all its other columns are kept (but for columns of
+    these two names, which are replaced). Pieces of one length are
     interchangeable and take their places in the order of the rows. An empty table gives none.
     """
     ranked, counts = rank_within(pieces, "length", "packing")
-    histogram = {r["length"]: r["n"] for r in counts.collect()}  # at most `capacity` rows
-    schema = "of long, first long, last long, sequence long, offset long"
+    histogram = {r["key"]: r["n"] for r in counts.collect()}  # at most `capacity` rows
+    schema = "length long, first long, last long, sequence long, offset long"
     places = F.broadcast(pieces.sparkSession.createDataFrame(place_table(plan_bins(histogram, capacity, groups)), schema))
-    fits = (F.col("length") == F.col("of")) & F.col("rank").between(F.col("first"), F.col("last"))
-    return ranked.join(places, fits).withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("first")).drop("rank", *places.columns[:4])
+    placed = ranked.join(places, (F.col("key") == F.col("length")) & F.col("rank").between(F.col("first"), F.col("last")))
+    return placed.select(*unpacked(pieces.columns, ("sequence_id", "offset")), (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
 
 
 def place_table(bins: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:

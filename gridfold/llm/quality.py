@@ -169,7 +169,8 @@ def train(docs: DataFrame, rated: DataFrame, n_grades: int, id_col: str = "doc_i
 
 def score(docs: DataFrame, model: Model, tail: int, text_col: str = "text") -> DataFrame:
     """``docs`` with ``expected_grade``, ``tail_probability`` (of a grade of at least ``tail``) and ``grade`` (the likeliest), from whole
-    texts. A null text counts as empty."""
+    texts. A null text counts as empty; columns of these names are replaced."""
+    docs = docs.drop("expected_grade", "tail_probability", "grade")
     schema = docs.withColumns({"expected_grade": F.lit(0.0), "tail_probability": F.lit(0.0), "grade": F.lit(0)}).schema
     at = docs.columns.index(text_col)
 

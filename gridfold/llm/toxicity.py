@@ -210,7 +210,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with ``score_col``: the probability from 0 to 1 that the whole text is toxic. A null text counts as empty."""
+    """``docs`` with ``score_col``: the probability from 0 to 1 that the whole text is toxic. A null text counts as empty; a
+    column of that name is replaced."""
+    docs = docs.drop(score_col)
     schema = docs.withColumn(score_col, F.lit(0.0)).schema
     at = docs.columns.index(text_col)
 
