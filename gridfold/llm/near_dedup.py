@@ -7,7 +7,10 @@ candidate pair is a link when the Jaccard similarity of the two shingle sets is
 component of links.
 
 A bucket is not expanded into its pairs. First each of its members is compared with a few of them drawn at random; then
-only the pairs of a bucket whose members are still in different groups are compared, as only these can change a group.
+only members of a bucket that are still in different groups are compared, as only these can change a group. In a large bucket,
+those are found by an exact filter: of two sets that are similar enough, the rarest fifth of the shingles of each (in one order
+by frequency) have a shingle in common, early enough in both for the rest to suffice. The many variants of one text that are
+not similar enough do not: too much of them is theirs alone.
 With signatures of 180 components, a pair of similarity 0.8 shares a bucket with a probability of 0.9999.
 """
 
@@ -19,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridfold.llm import shingles
@@ -29,6 +33,8 @@ BANDS, ROWS = 30, 6
 THRESHOLD = 0.8
 #: Members of a bucket that all its members are compared with first.
 CENTRES = 3
+#: In buckets of up to so many members, what is left is compared pair by pair; in larger ones, by rare shingles in common.
+SMALL_BUCKET = 32
 #: Texts are hashed in buffers of about so many bytes; texts with fewer distinct shingles are signed together.
 BUFFER, FEW = 2 << 20, 256
 
@@ -113,6 +119,27 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(common >= threshold * (total - common)).select("a", "b")
 
 
+def _across(rows: DataFrame, key: str, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes that share the key, are in different groups and may be similar enough: by their sizes, and by
+    how much of each set comes after ``place`` in its order, if the key is the first shingle they have in common."""
+    other = rows.select(key, *[F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "place")])
+    most = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    needed = F.ceil((F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9)
+    met = rows.join(other, key).filter((F.col("label") < F.col("label2")) & _alike(F.col("n"), F.col("n2"), threshold) & (most >= needed))
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+
+def _prefixes(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The nodes with each of their rarest shingles, and its ``place`` among them from 0: as many that sets similar enough have
+    one of them in common. Shingles that only one node holds only move the places of the others."""
+    held = nodes.join(sets, "node").select("node", "label", F.array_distinct("shingles").alias("set"))
+    each = held.select("node", "label", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"))
+    place = F.row_number().over(W.partitionBy("node").orderBy("holders", "shingle")) - 1
+    ranked = each.join(common, "shingle").withColumn("place", place)
+    return ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)) & (F.col("holders") > 1)).select("shingle", "node", "n", "label", "place")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, class_id and group_id.
 
@@ -137,13 +164,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = components(links)
 
     # What is left: pairs of a bucket in different groups, which no comparison has joined or kept apart yet.
-    grouped = in_bands.join(buckets.select("key"), "key", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = grouped.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    rest = materialise(grouped.join(mixed, "key", "left_semi"), "rest")
-    other = rest.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    across = rest.join(other, "key").filter((F.col("label") < F.col("label2")) & _alike(F.col("n"), F.col("n2"), threshold))
-    untried = across.select(*ordered("node", "node2")).distinct().join(tried, ["a", "b"], "left_anti")
-    late = materialise(_links(untried, sets, threshold), "links")
+    in_buckets = in_bands.join(buckets.select("key", "members"), "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    divided = in_buckets.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    rest = materialise(in_buckets.join(divided, "key", "left_semi"), "rest")
+    small = rest.filter(F.col("members") <= SMALL_BUCKET).withColumn("place", F.lit(0))
+    large = rest.filter(F.col("members") > SMALL_BUCKET).select("node", "label").distinct()
+    late = _across(small, "key", threshold).union(_across(_prefixes(large, sets, threshold), "shingle", threshold))
+    late = materialise(_links(late.distinct().join(tried, ["a", "b"], "left_anti"), sets, threshold), "links")
     if not late.isEmpty():
         labels = components(links.union(late))
 
