@@ -43,9 +43,12 @@ CHROME = frozenset("head nav footer aside form button select optgroup option men
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer header masthead topbar cookie cookies consent gdpr notice popup modal overlay subscribe subscription newsletter signup login "
+    "footer cookie cookies consent gdpr notice popup modal overlay subscribe subscription newsletter signup login "
     "comment comments commentlist disqus reply replies respond related recommended recommendations share sharing social widget pagination pager toolbar paywall".split()
 )
+HEADER_WORDS = frozenset("header masthead topbar".split())
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies".split())
+NOT_ITSELF = frozenset("has with no without".split())
 CONTENT_WORDS = frozenset("article content post entry story main".split())
 CLOSES_PARAGRAPH = BLOCK - frozenset("caption legend option optgroup summary tbody td tfoot th thead tr html head body button dd dt li".split())
 LIKE = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -54,9 +57,10 @@ SCOPE = frozenset("ul ol dl table select article main section div body html asid
 SURE, UNDECIDED, REMOVED = 0, 1, 2
 
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is chrome, and whether it is named like the page's content."""
-    chrome, content = tag in CHROME, False
+def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is chrome, is named like the page's content, and is a header (which in an article is its own). A name
+    is told by its first and last word: "post-footer" and "ad-box" are chrome, "has-sidebar" says nothing of itself."""
+    chrome, content, header = tag in CHROME, False, tag == "header"
     if attributes and tag not in ("html", "body"):
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
@@ -65,11 +69,15 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
             elif name == "role":
                 chrome, content = chrome or value.lower() in CHROME_ROLES, content or value.lower() in ("main", "article")
             elif name in ("class", "id"):
-                words = {w.lower() for w in _WORD.findall(_CAMEL.sub(" ", value))}
-                if tag not in ("main", "article") or words & {"comment", "comments", "reply"}:
-                    chrome = chrome or not words.isdisjoint(CHROME_WORDS)
-                content = content or not words.isdisjoint(CONTENT_WORDS)
-    return chrome, content
+                for token in value.split():
+                    words = [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", token))]
+                    if not words or words[0] in NOT_ITSELF:
+                        continue
+                    ends = {words[0], words[-1]}
+                    chrome = chrome or not ends.isdisjoint(COMMENT_WORDS if tag in ("main", "article") else CHROME_WORDS)
+                    header = header or not ends.isdisjoint(HEADER_WORDS)
+                    content = content or not ends.isdisjoint(CONTENT_WORDS)
+    return chrome, content, header
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
@@ -131,9 +139,9 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 close(LIKE[tag], SCOPE)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
-        chrome, content = _kind(tag, m[3])
+        chrome, content, header = _kind(tag, m[3])
         _, above, container = stack[-1]
-        chrome = chrome or tag == "header" and container < 2
+        chrome = chrome or header and container < 2 and tag not in ("main", "article")
         stack.append((tag, above or chrome, max(container, 3 if tag == "article" else 2 if tag == "main" else int(content))))
     flush()
     best = max((c for _, chrome, c, _ in found if not chrome), default=0)

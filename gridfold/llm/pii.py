@@ -243,7 +243,7 @@ def fit(found: DataFrame) -> dict[str, tuple[str, Boosted, float]]:
             for cut in np.unique(score):
                 over = score >= cut
                 if n[held][over].sum() >= LEAST and (n[held] * is_kind[held])[over].sum() >= PRECISION * n[held][over].sum():
-                    models[kind] = (family, trees, float(cut))
+                    models[kind] = (family, trees, float(cut) - 1e-9)  # sums round differently in SQL
                     break
     return models
 
