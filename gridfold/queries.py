@@ -141,6 +141,18 @@ def reduce_quantile_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.group_reduce(events(spark, sf_dir), "v", "event_type", func="nanquantile", q=[0.1, 0.5, 0.99], names=["result"]), "result")
 
 
+@query(f"""WITH e AS (SELECT event_type, {GAPS} AS v FROM events), q AS (SELECT event_type, unnest([0.0, 0.25, 0.9])::DOUBLE AS quantile, unnest(quantile_cont(v, [0.0, 0.25, 0.9])) AS x FROM e GROUP BY event_type)
+SELECT event_type, quantile, round(x, 6) AS result FROM q""")
+def reduce_quantile_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(g.group_quantile(events(spark, sf_dir), "v", "event_type", q=[0.0, 0.25, 0.9], name="result"), "result")
+
+
+@query("""WITH c AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT event_type, user_id AS result FROM c QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) = 1""")
+def reduce_mode_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.group_mode(load(spark, sf_dir, "events"), "user_id", "event_type", name="result")
+
+
 @query(f"""WITH e AS (SELECT event_type, {GAPS} + 1e9 AS v FROM events), m AS (SELECT *, v - min(v) OVER (PARTITION BY event_type) AS s FROM e)
 SELECT event_type, round(var_samp(s), 4) AS v_nanvar, round(stddev_samp(s), 4) AS v_nanstd FROM m GROUP BY 1""")
 def reduce_var_ddof_offset(spark: SparkSession, sf_dir: str) -> DataFrame:

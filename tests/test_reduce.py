@@ -87,6 +87,15 @@ def test_positions(spark):
         g.group_reduce(df, "v", "b", func="first")
 
 
+def test_large_groups_like_built_in(spark):
+    df = frame(spark, [float((7 * i) % 31) for i in range(300)] + [NAN, 5.0], [i % 3 for i in range(300)] + [2, 3], label_kind="int").withColumn("i", F.col("i"))
+    for q in (0.0, 0.3, 0.5, 1.0):
+        assert result(g.group_quantile(df, "v", "b", q=q)) == pytest.approx(result(g.group_reduce(df, "v", "b", func="nanquantile", q=q)))
+    assert result(g.group_quantile(df, "v", "b", q=0.5, skipna=False))[2] is None
+    assert result(g.group_mode(df, "v", "b")) == result(g.group_reduce(df, "v", "b", func="nanmode"))
+    assert result(g.group_mode(df, "v", "b", skipna=False)) == result(g.group_reduce(df, "v", "b", func="mode"))
+
+
 def test_quantiles(spark):
     rows = [(i, d, v, b) for d, vs in enumerate([[1.0, -1, NAN, 3, 4, 10, 5], [1, NAN, NAN, 3, 4, NAN, NAN]]) for i, (v, b) in enumerate(zip(vs, [0, 0, 0, 1, 0, 1, 1], strict=True))]
     df = spark.createDataFrame([(i, d, float(v), b) for i, d, v, b in rows], "i long, d int, v double, b int")
