@@ -155,16 +155,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in_bands = materialise(nodes.select("node", "n", F.explode("bands").alias("key")), "bands")
     drawn = [F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i), "key")).alias(f"c{i}") for i in range(CENTRES)]
     buckets = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *drawn).filter("members > 1")
-    met = in_bands.join(buckets.select("key", F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("centres")), "key")
+    buckets = buckets.select("key", "members", F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("centres"))
+    met = materialise(in_bands.join(buckets, "key"), "buckets")
     pairs = met.select("node", "n", F.explode("centres").alias("c")).filter((F.col("node") != F.col("c.node")) & _alike(F.col("n"), F.col("c.n"), threshold))
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     tried = materialise(pairs.select(*ordered("node", "c.node")).distinct(), "pairs")
-    sets = sketch.select(F.col("row").alias("node"), "shingles")
+    sets = sketch.select(F.col("row").alias("node"), "shingles").join(met.select("node").distinct(), "node", "left_semi")
+    sets = materialise(sets, "sets")  # of the nodes that share a bucket: all that is compared from here on
     links = materialise(_links(tried, sets, threshold), "links")
     labels = components(links)
 
     # What is left: pairs of a bucket in different groups, which no comparison has joined or kept apart yet.
-    in_buckets = in_bands.join(buckets.select("key", "members"), "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    in_buckets = met.select("key", "members", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     divided = in_buckets.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     rest = materialise(in_buckets.join(divided, "key", "left_semi"), "rest")
     small = rest.filter(F.col("members") <= SMALL_BUCKET).withColumn("place", F.lit(0))
