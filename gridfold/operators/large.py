@@ -23,8 +23,8 @@ def _rows(df: DataFrame, value: str, keys: Sequence[Key]) -> tuple[DataFrame, li
     kind = df.select(value).schema[0].dataType
     labels = [f"_k{i}" for i in range(len(keys))]
     work = df.select(*[k.labels(df).alias(c) for k, c in zip(keys, labels, strict=True)], present(F.col(value), kind).alias("_v"), missing(F.col(value), kind).alias("_bad"))
-    for c in labels:
-        work = work.filter(F.col(c).isNotNull())
+    for k, c in zip(keys, labels, strict=True):
+        work = k.restrict(work, c, df)
     return work, labels, work.groupBy(*labels).agg(F.count("_v").alias("_n"), F.max("_bad").alias("_any_bad"))
 
 

@@ -84,8 +84,8 @@ def group_reduce(
         *[F.col(c).alias(d) for c, d in zip(keep_dims, dims, strict=True)], *[k.labels(df).alias(c) for k, c in zip(ks, labels, strict=True)],
         (F.col(value).cast(dtype) if dtype else F.col(value)).alias("_v"), *([F.col(order).cast("bigint").alias("_o")] if order else []),
     )
-    for c in labels:
-        work = work.filter(F.col(c).isNotNull())
+    for k, c in zip(ks, labels, strict=True):
+        work = k.restrict(work, c, df)
     by = dims + labels
     declared = any(k.declared for k in ks)
     filled = fill_value is not UNSET

@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 from gridfold.functions.missing import present
 
 
+#: Expected labels up to so many become a filter that scans can push down; more are a semi-join.
+PUSHED_LABELS = 1000
+
+
 @dataclass
 class Key:
     column: str
@@ -38,6 +42,10 @@ class Key:
         """The declared labels as a column ``label``, in order."""
         return None
 
+    def restrict(self, work: DataFrame, column: str, df: DataFrame) -> DataFrame:
+        """``work`` without the rows whose label in ``column`` is missing or not in the domain."""
+        return work.filter(F.col(column).isNotNull())
+
     def outputs(self, label: Column) -> list[Column]:
         return [label.alias(self.out)]
 
@@ -63,6 +71,15 @@ class Labels(Key):
         return df.sparkSession.createDataFrame([(x,) for x in unique], schema)
 
 
+    def restrict(self, work: DataFrame, column: str, df: DataFrame) -> DataFrame:
+        work = super().restrict(work, column, df)
+        if self.expected is None:
+            return work
+        if not isinstance(self.expected, DataFrame) and len(self.expected) <= PUSHED_LABELS:
+            return work.filter(F.col(column).isin([x for x in self.expected if x is not None and x == x]))
+        return work.join(self.domain(df).select(F.col("label").alias(column)), column, "left_semi")
+
+
 @dataclass
 class Codes(Key):
     """Labels that are codes from 0 to ``n`` - 1 already; others belong to no group."""

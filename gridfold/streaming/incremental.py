@@ -21,8 +21,8 @@ def stream_reduce(stream: DataFrame, value: str, *keys: str | Key, func: str | S
         raise ValueError(f"not for streams: {', '.join(refused)}")
     labels = [k.labels(stream).alias(f"_k{i}") for i, k in enumerate(ks)]
     rows = stream.select(*labels, F.col(value).alias("_v"), *([F.col(time)] if time else []))
-    for i in range(len(ks)):
-        rows = rows.filter(F.col(f"_k{i}").isNotNull())
+    for i, k in enumerate(ks):
+        rows = k.restrict(rows, f"_k{i}", stream)
     by = [f"_k{i}" for i in range(len(ks))]
     if window:
         rows = rows.withWatermark(time, late)

@@ -133,6 +133,17 @@ def test_dense_product_and_limit(spark):
     assert g.OPTIONS.max_dense_cells > 5
 
 
+def test_unexpected_labels_are_dropped_before_the_scan(spark, tmp_path):
+    df = frame(spark, [1.0] * 4, ["a", "a", "b", "c"], label_kind="string")
+    key = g.Labels("b", expected=["a", "z"])
+    assert result(g.group_reduce(df, "v", key, func="count")) == {"a": 2, "z": 0}
+    assert result(g.group_reduce(df, "v", key, func="count", dense=False)) == {"a": 2}
+    assert result(g.group_reduce(df, "v", g.Labels("b", expected=df.select("b").filter("b < 'c'")), func="count")) == {"a": 2, "b": 1}
+    df.write.parquet(str(tmp_path / "t"))
+    plan = g.group_reduce(spark.read.parquet(str(tmp_path / "t")), "v", key, func="count")._jdf.queryExecution().executedPlan().toString()
+    assert "In(b, [a,z])" in plan and "ReadSchema: struct<v:double,b:string>" in plan
+
+
 def test_types(spark):
     df = spark.createDataFrame([(0, True, 1), (1, False, 1), (2, True, 2)], "i long, v boolean, b int")
     assert result(g.group_reduce(df, "v", "b", func="sum")) == {1: 1, 2: 1}
