@@ -150,10 +150,10 @@ def _edges(model: Model, lines: DataFrame) -> DataFrame:
     """conv, chunk, before, last: the states at the edges of each chunk of conversations with more than one."""
     matrix = "conv {0}, chunk long, best array<double>".format(lines.schema["conv"].dataType.simpleString())
 
-    def chunk_summary(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def chunk_summary(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"conv": [key[0]], "chunk": [key[1]], "best": [summary(model, rows.sort_values("rank")).ravel()]})
 
-    def combined(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def combined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("chunk")
         total, *others = [np.reshape(b, (N + 1, N)) for b in rows["best"]]
         for m in others:
@@ -167,7 +167,7 @@ def _edges(model: Model, lines: DataFrame) -> DataFrame:
     state = f"conv {lines.schema['conv'].dataType.simpleString()}, chunk long, before int, last int"
     edges = levels[-1].select("conv", "chunk", F.lit(START).alias("before"), F.lit(-1).alias("last"))
 
-    def spread(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def spread(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("chunk")
         before, last = int(rows["before"].iloc[0]), int(rows["last"].iloc[0])
         ends = _boundaries([np.reshape(b, (N + 1, N)) for b in rows["best"]], before, last)
@@ -224,7 +224,7 @@ def format_chat(ranked: DataFrame, model: Model, id_col: str = "conv_id") -> Dat
     ends = edges.groupBy(F.col("edge_of").alias("end_of")).agg(F.max("edge_at").alias("final"))
     told = long.join(edges, F.col("conv").eqNullSafe(F.col("edge_of")) & (F.col("chunk") == F.col("edge_at"))).join(ends, F.col("conv").eqNullSafe(F.col("end_of")))
 
-    def part(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = render(key[0], key[1], rows.sort_values("rank"), int(rows["before"].iloc[0]), int(rows["last"].iloc[0]))
         if key[1] == rows["final"].iloc[0]:
             out["rendered"] += "<|im_end|>\n"

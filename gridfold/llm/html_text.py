@@ -188,6 +188,24 @@ def _suffixes(cut: list[tuple[str, int]]) -> list[dict]:
     return out
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbours of the suffix array that share their prefix, run by run, with the least and the largest page of the run. Runs
+    of one page are left out, but for those at the ends of a batch, which may go on in the next one or in another partition."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        host, prefix, page = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), f"S{4 * DEPTH}"), batch.column(2).to_numpy()
+        new = np.ones(n, bool)
+        new[1:] = (host[1:] != host[:-1]) | (prefix[1:] != prefix[:-1])
+        at = np.flatnonzero(new)
+        low, high = np.minimum.reduceat(page, at), np.maximum.reduceat(page, at)
+        keep = low != high
+        keep[[0, -1]] = True
+        at, low, high = at[keep], low[keep], high[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(host[at]), batch.column(1).take(pa.array(at)), pa.array(low), pa.array(high)], names=["host", "prefix", "low", "high"])
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col``, ``url_col`` and ``text`` for each page: the article's blocks in page order, joined by a blank line.
 
@@ -201,9 +219,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     cut = own.mapInArrow(_parsed, f"text string, undecided array<struct<text:string,kind:int>>, suffixes array<struct<block:int,at:int,prefix:binary>>, key {key_type}, host string")
     cut = materialise(cut.withColumn("row", F.monotonically_increasing_id()), "pages")
 
-    suffixes = cut.select("row", "host", F.xxhash64("key").alias("page"), F.inline("suffixes"))
-    array = suffixes.repartitionByRange("host", "prefix", "page").sortWithinPartitions("host", "prefix", "page")
-    repeated = array.groupBy("host", "prefix").agg(F.min("page").alias("low"), F.max("page").alias("high")).filter("low <> high").select("host", "prefix")
+    suffixes = cut.select("row", F.xxhash64("host").alias("host"), F.xxhash64("key").alias("page"), F.inline("suffixes"))
+    array = suffixes.select("host", "prefix", "page").repartitionByRange("host", "prefix", "page").sortWithinPartitions("host", "prefix", "page")
+    runs = array.mapInArrow(_shared, "host long, prefix binary, low long, high long")
+    repeated = runs.groupBy("host", "prefix").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("host", "prefix")
     covered = suffixes.filter("block >= 0").join(repeated, ["host", "prefix"]).groupBy("row").agg(F.collect_set(F.struct("block", "at")).alias("starts"))
 
     loose = cut.filter(F.col("undecided").isNotNull()).select("row", "key", "undecided").join(covered, "row", "left")
