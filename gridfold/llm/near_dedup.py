@@ -36,7 +36,7 @@ CENTRES = 3
 #: In buckets of up to so many members, what is left is compared pair by pair; in larger ones, by rare shingles in common.
 SMALL_BUCKET = 32
 #: Texts are hashed in buffers of about so many bytes; texts with fewer distinct shingles are signed together.
-BUFFER, FEW = 2 << 20, 256
+BUFFER, FEW = 1 << 19, 256
 
 
 def _signed(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

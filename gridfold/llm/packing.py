@@ -44,7 +44,6 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -52,11 +51,15 @@ class Encoder:
         byte_of = {c: b for b, c in _byte_letters().items()}
         ranks = {bytes(byte_of[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.slow = Tokenizer.from_file(path)
+        self.path, self.slow = path, None
 
     def encode(self, text: str) -> list[int]:
         if text.isascii() or max(text) < chr(LATIN_END):
             return self.fast.encode(text, allowed_special="all")
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
@@ -87,7 +90,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                     start = max(0, end - capacity)
                     rows.append((i, k, start, end - start, buffer[4 * start : 4 * end]))
                 size += len(buffer)
-                if size > 16 << 20:
+                if size > 4 << 20:
                     yield _piece_batch(keys, rows, schema)
                     rows, size = [], 0
             if rows:

@@ -24,7 +24,7 @@ BITS = 15
 SAMPLE = 2000
 #: Weight of a feature of form against the mean of the words.
 FORM = 0.5
-BUFFER = 4 << 20
+BUFFER = 1 << 20
 
 
 @dataclass

@@ -30,7 +30,7 @@ WINDOW, ORDINARY_BYTES, TOXIC_BYTES, GRAM = 48, 65536, 4096, 6
 #: A gram or word is toxic from this many documents, this z, and this ratio of document frequencies on.
 LEAST_DOCS, LEAST_Z, LEAST_RATIO = 3, 4.0, 4.0
 #: Texts are compressed in buffers of about so many bytes.
-BUFFER = 4 << 20
+BUFFER = 1 << 20
 
 
 @dataclass
