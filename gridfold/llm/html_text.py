@@ -6,7 +6,7 @@ are undecided. The token streams of chrome and undecided blocks of a host's page
 all suffixes, range-partitioned and sorted by host and by their first ``DEPTH`` tokens. Suffixes that share them stand next
 to each other; if they come from distinct pages, their ``DEPTH`` tokens are part of a long repeated substring. (A longer
 repeat is a chain of such suffixes, so the depth loses nothing.) Undecided blocks of which repeats cover at least
-``COVERED`` are boilerplate and go; unique runs stay.
+``COVERED`` are boilerplate and go; unique runs stay. A page of which nothing would stay is a copy of others, and stays whole.
 """
 
 from __future__ import annotations
@@ -43,12 +43,13 @@ CHROME = frozenset("head nav footer aside form button select optgroup option men
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer cookie cookies consent gdpr notice popup modal overlay subscribe subscription newsletter signup login "
+    "adsbygoogle outbrain taboola footer cookie cookies consent gdpr notice popup modal overlay subscribe subscription newsletter signup login "
     "comment comments commentlist disqus reply replies respond related recommended recommendations share sharing social widget pagination pager toolbar paywall".split()
 )
 HEADER_WORDS = frozenset("header masthead topbar".split())
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies".split())
-NOT_ITSELF = frozenset("has with no without".split())
+NOT_ITSELF = frozenset("has with no without layout template theme grid columns".split())
+WRAPPERS = frozenset("wrapper wrap container box block section area inner outer list item items holder panel region group row col column left right top bottom desktop mobile text link links".split())
 CONTENT_WORDS = frozenset("article content post entry story main".split())
 CLOSES_PARAGRAPH = BLOCK - frozenset("caption legend option optgroup summary tbody td tfoot th thead tr html head body button dd dt li".split())
 LIKE = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -59,7 +60,7 @@ SURE, UNDECIDED, REMOVED = 0, 1, 2
 
 def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     """Whether an element is chrome, is named like the page's content, and is a header (which in an article is its own). A name
-    is told by its first and last word: "post-footer" and "ad-box" are chrome, "has-sidebar" says nothing of itself."""
+    is told by its first and its last word that is not of a wrapper: "post-footer" and "site-nav-box" are chrome, "has-sidebar" says nothing of itself."""
     chrome, content, header = tag in CHROME, False, tag == "header"
     if attributes and tag not in ("html", "body"):
         for name, value in _ATTRIBUTE.findall(attributes):
@@ -73,6 +74,8 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
                     words = [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", token))]
                     if not words or words[0] in NOT_ITSELF:
                         continue
+                    while len(words) > 1 and words[-1] in WRAPPERS:
+                        words.pop()
                     ends = {words[0], words[-1]}
                     chrome = chrome or not ends.isdisjoint(COMMENT_WORDS if tag in ("main", "article") else CHROME_WORDS)
                     header = header or not ends.isdisjoint(HEADER_WORDS)
@@ -226,7 +229,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     covered = suffixes.filter("block >= 0").join(repeated, ["host", "prefix"]).groupBy("row").agg(F.collect_set(F.struct("block", "at")).alias("starts"))
 
     loose = cut.filter(F.col("undecided").isNotNull()).select("row", "key", "undecided").join(covered, "row", "left")
-    ends = loose.select("key", F.filter(F.transform("undecided", _kept), lambda t: t.isNotNull()).alias("kept"))
+    ends = loose.select("key", F.filter(F.transform("undecided", _kept), lambda t: t.isNotNull()).alias("kept"), F.transform("undecided", lambda b: b["text"]).alias("all"))
+    ends = ends.select("key", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("all")).alias("kept"))
     text = cut.filter(F.col("undecided").isNull()).select("key", "text").union(ends.select("key", F.concat_ws("\n\n", "kept")))
     return text.select(F.col("key.id").alias(id_col), F.col("key.url").alias(url_col), "text")
 

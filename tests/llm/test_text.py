@@ -178,7 +178,7 @@ def text_of(page):
 
 def test_structure():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
-<header><h1>Site</h1></header><nav><ul><li>Menu</ul></nav><!-- <p>hidden</p> --><div class="ad">Buy</div><div id="cookieNotice">OK?</div>
+<header><h1>Site</h1></header><div class="layout-sidebar-right"><div class="site-nav-wrapper"><p>Go</p></div><nav><ul><li>Menu</ul></nav><!-- <p>hidden</p> --><div class="ad">Buy</div><div id="cookieNotice">OK?</div>
 <article class="post with-comments"><h1>Title &amp; more</h1><p><b>First   line<br>goes&nbsp;on.<br><p>Second &lt;b&gt; <a href="x>y">link</a>.</p>
 <div class="share">Share</div><ul><li>one<li>two</ul><form><p>Name</p></form><aside>See also</aside><section class="comments"><p>Nice!</p><article class="comment"><p>Me too</p></article></section></article>
 <footer>&copy; us</footer></body></html>"""
@@ -197,7 +197,9 @@ def test_repeats_of_a_host_go_and_unique_runs_stay(spark):
     own = [body() for _ in range(6)]
     rows = [(i, f"http://www.site{i % 2}.example/{i}", f"<body><div>{own[i]}</div><div>{promo}</div></body>", 0) for i in range(6)]
     rows += [(10, None, f"<article><p>{promo}</p></article>", 0), (11, "nonsense", None, 0), (12, "http://other.example/", f"<div>{promo}</div>", 0), (12, "http://other.example/", f"<div>{promo}</div>", 0)]
+    rows += [(20, "http://twins.example/a", f"<div>{own[0]}</div>", 0), (21, "http://twins.example/b", f"<div>{own[0]}</div>", 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
     found = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
     assert [found[i] for i in range(6)] == own and found[10] == promo and found[11] == "" and found[12] == promo
+    assert found[20] == found[21] == own[0]
     assert html_text.main_text(df).count() == len(rows) and html_text.main_text(df.limit(0)).count() == 0
