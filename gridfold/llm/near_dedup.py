@@ -177,7 +177,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         labels = components(links.union(late))
 
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = named.groupBy("label").agg(F.min("class_id").alias("group_id"))
+    ids = named.groupBy("label").agg(F.min(F.struct("class_id"))["class_id"].alias("group_id"))
     named = named.join(ids, "label").select("class", "class_id", "group_id")
     return sketch.select(F.col("id").alias(id_col), "class").join(named, "class").select(id_col, "class_id", "group_id")
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -30,6 +31,10 @@ GROUPS = 200
 #: The two tokenizer libraries split text alike below this code point; texts beyond it go to the slower one.
 LATIN_END = 0x250
 
+#: Characters encoded at once.
+PART = 1 << 18
+_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+
 Run = tuple[int, int]  # a length and how many pieces have it
 
 
@@ -53,6 +58,14 @@ class Encoder:
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.path, self.slow = path, None
 
+    def ids(self, text: str) -> np.ndarray:
+        """All ids. Long texts are encoded in parts, cut before a space between two letters, where tokens end anyway."""
+        parts, at = [], 0
+        while len(text) - at > PART and (cut := _CUT.search(text, at + PART)):
+            parts.append(np.array(self.encode(text[at : cut.start()]), "<u4"))
+            at = cut.start()
+        return np.concatenate([*parts, np.array(self.encode(text[at:]), "<u4")])
+
     def encode(self, text: str) -> list[int]:
         if text.isascii() or max(text) < chr(LATIN_END):
             return self.fast.encode(text, allowed_special="all")
@@ -82,9 +95,8 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             keys, rows, size = batch.column(0), [], 0
             for i, text in enumerate(batch.column(1)):
-                ids = encoder.encode(text.as_py() or "")
-                ids.append(END_ID)
-                buffer = np.array(ids, dtype="<u4").tobytes()
+                ids = np.append(encoder.ids(text.as_py() or ""), np.array([END_ID], "<u4"))
+                buffer = ids.tobytes()
                 ends = range(len(ids), 0, -capacity)
                 for k, end in enumerate(reversed(ends)):
                     start = max(0, end - capacity)

@@ -19,7 +19,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = chat.lines_of(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text")
     ranked = chat.ranked_lines(lines, "chat")
     model = chat.train(ranked.filter(F.crc32(F.col("conv").cast("string")) % 5 != 0))
-    held = F.crc32(F.col("conv_id").cast("string")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("conv_id").cast("string")) % 5 == 0, F.lit(False))
     return chat.format_chat(ranked, model).withColumn("held_out", held)
 
 
@@ -27,7 +27,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").withColumn("grade", quality.graded(F.col("quality"), F.col("toxic")))
     model = quality.train(docs, labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), n_grades=3)
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return quality.score(docs, model, tail=1).select("doc_id", held.alias("held_out"), "expected_grade", "tail_probability", "grade")
 
 
@@ -46,7 +46,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, toxicity.training_rows(table(spark, sf_dir, "labels")))
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

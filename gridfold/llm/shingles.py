@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
+#: Bytes hashed at once.
+STRETCH = 1 << 19
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -35,9 +37,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     white = (buffer == 32) | ((buffer >= 9) & (buffer <= 13))
     edge = np.diff(np.concatenate([[True], white, [True]]).astype(np.int8))
     starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _power(len(buffer))
-    total = np.concatenate([np.zeros(1, _U), np.cumsum((buffer.astype(_U) + _U(1)) * up[: len(buffer)], dtype=_U)])
-    hashes = mixed((total[stops] - total[starts]) * down[starts])
+    hashes = np.empty(len(starts), _U)
+    at = 0
+    while at < len(starts):  # a stretch of words at a time, or long texts would take many times their size
+        end = max(at + 1, int(np.searchsorted(stops, starts[at] + STRETCH)))
+        begin, own = starts[at], buffer[starts[at] : stops[end - 1]]
+        up, down = _power(len(own))
+        total = np.concatenate([np.zeros(1, _U), np.cumsum((own.astype(_U) + _U(1)) * up[: len(own)], dtype=_U)])
+        hashes[at:end] = mixed((total[stops[at:end] - begin] - total[starts[at:end] - begin]) * down[starts[at:end] - begin])
+        at = end
     text_ends = np.cumsum([len(t) + 1 for t in texts])
     return hashes, np.searchsorted(starts, text_ends)
 

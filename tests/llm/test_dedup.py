@@ -136,6 +136,20 @@ def test_word_hashes_are_of_words():
     assert ends.tolist() == [3, 3, 5, 7] and hashes[0] == hashes[4] and hashes[1] == hashes[3] == hashes[6] and len(set(hashes.tolist())) == 4
 
 
+def test_long_texts_are_hashed_alike(monkeypatch):
+    text = ("some words and others " * 300).encode()
+    whole = shingles.word_hashes([text, b"x" * 5000, text])
+    monkeypatch.setattr(shingles, "STRETCH", 64)
+    parts = shingles.word_hashes([text, b"x" * 5000, text])
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_null_ids_come_first(spark):
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (4, "g")]
+    found = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["class_id"], r["group_id"]) for r in found} == {(None, None, None), (3, None, None), (4, 4, 4)}
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (503, 503)]
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -87,6 +87,15 @@ def test_encoder_like_the_tokenizer():
         assert encoder.encode(t) == plain.encode(t, add_special_tokens=False).ids, t
 
 
+def test_long_texts_are_encoded_alike(monkeypatch):
+    rng = random.Random(1)
+    text = "".join(rng.choice(["word ", "other", " 12 ", "\n\n", "  ", ". ", "é", "<|endoftext|>", " a"]) for _ in range(4000))
+    encoder = packing.Encoder(packing.vocabulary())
+    whole = encoder.ids(text).tolist()
+    monkeypatch.setattr(packing, "PART", 50)
+    assert encoder.ids(text).tolist() == whole == Tokenizer.from_file(packing.vocabulary()).encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_round_trip_and_fill_sequences(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(0, 300)))) for i in range(300)]
