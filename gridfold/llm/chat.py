@@ -10,10 +10,12 @@ one Viterbi pass, and no task holds more than a chunk.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ class Model:
 def ranked_lines(lines: DataFrame, name: str) -> DataFrame:
     """Lines with their rank in the conversation, by place in it; spread evenly also where a conversation is very long."""
     laid = lines.repartitionByRange("conv", "place_in", "nth", "at").sortWithinPartitions("conv", "place_in", "nth", "at")
-    return rank_within(laid, "conv", name)[0].select(*unpacked(laid.columns), "rank")
+    return materialise(rank_within(laid, "conv", name)[0].select(*unpacked(laid.columns), "rank"), name)
 
 
 def train(ranked: DataFrame) -> Model:
@@ -100,30 +102,29 @@ def train(ranked: DataFrame) -> Model:
     return Model(emissions, {f: np.log(0.2 / totals[f]).tolist() for f in FEATURES}, np.log(moves / moves.sum(2, keepdims=True)).tolist())
 
 
-def _scores(model: Model, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    emit = np.zeros((len(rows), N))
+def _scores(model: Model, rows: dict | pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    emit = np.zeros((len(rows["opens"]), N))
     for f in FEATURES:
-        values, codes = np.unique(rows[f].to_numpy(str), return_inverse=True)
-        emit += np.array([model.emissions.get((f, v), model.unseen[f]) for v in values])[codes]
-    return emit, (rows["opens"] == "true").to_numpy().astype(int)
+        emit += np.array([model.emissions.get((f, v), model.unseen[f]) for v in rows[f]])
+    return emit, np.array([x == "true" for x in rows["opens"]], int)
 
 
-def summary(model: Model, rows: pd.DataFrame) -> np.ndarray:
+def summary(model: Model, rows: dict | pd.DataFrame) -> np.ndarray:
     """The best score of a chunk from each state before it (START last) to each state of its last line."""
     emit, opens = _scores(model, rows)
     move = np.array(model.transitions)
     best = move[opens[0]] + emit[0]
-    for t in range(1, len(rows)):
+    for t in range(1, len(emit)):
         best = (best[:, :, None] + move[opens[t]][None, :N]).max(1) + emit[t]
     return best
 
 
-def decode(model: Model, rows: pd.DataFrame, before: int, last: int) -> list[int]:
+def decode(model: Model, rows: dict | pd.DataFrame, before: int, last: int) -> list[int]:
     """The best states of a chunk between the state before it and that of its last line (-1: any)."""
     emit, opens = _scores(model, rows)
     move = np.array(model.transitions)
     best, back = move[opens[0], before] + emit[0], []
-    for t in range(1, len(rows)):
+    for t in range(1, len(emit)):
         reach = best[:, None] + move[opens[t], :N]
         back.append(reach.argmax(0))
         best = reach.max(0) + emit[t]
@@ -181,6 +182,19 @@ def _edges(model: Model, lines: DataFrame) -> DataFrame:
     return edges
 
 
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole conversations, whose lines come in the order of their rank, with where each begins."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        starts = np.flatnonzero(rows.column("rank").to_numpy() == 0)
+        if len(starts) > 1:
+            yield rows.slice(0, starts[-1]), starts[:-1]
+        held = rows.slice(starts[-1]) if len(starts) else None
+    if held is not None:
+        yield held, np.zeros(1, int)
+
+
 def canonical(line: Column) -> Column:
     """A line without its speaker marker and without the delimiters of turns."""
     for names in SPEAKERS.values():
@@ -203,7 +217,7 @@ def format_chat(ranked: DataFrame, model: Model, id_col: str = "conv_id") -> Dat
     long = lines.join(several, F.col("conv").eqNullSafe(F.col("of")), "left_semi")
     schema = f"`{id_col}` {kind}, part long, n_lines int, n_turns int, n_agree int, rendered string"
 
-    def render(conv, part: int, rows: pd.DataFrame, before: int, last: int) -> pd.DataFrame:
+    def render(rows: dict | pd.DataFrame, before: int, last: int) -> tuple[int, int, int, str]:
         path = decode(model, rows, before, last)
         out, turns = [], 0
         for state, text in zip(path, rows["shown"], strict=True):
@@ -213,11 +227,21 @@ def format_chat(ranked: DataFrame, model: Model, id_col: str = "conv_id") -> Dat
             out.append(f"{text}\n")
             before = state
         agree = sum(ROLES[s] == g for s, g in zip(path, rows["given"], strict=True))
-        closing = "<|im_end|>\n" if last < 0 else ""
-        return pd.DataFrame({id_col: [conv], "part": [part], "n_lines": [len(path)], "n_turns": [turns], "n_agree": [agree], "rendered": ["".join(out) + closing]})
-
+        return len(path), turns, agree, "".join(out) + ("<|im_end|>\n" if last < 0 else "")
+
+    def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _conversations(batches):
+            columns = {c: rows.column(c).to_pylist() for c in ["given", "shown", *FEATURES]}
+            cuts = [*starts.tolist(), rows.num_rows]
+            found = [render({c: v[a:b] for c, v in columns.items()}, START, -1) for a, b in zip(cuts, cuts[1:], strict=False)]
+            n_lines, n_turns, n_agree, texts = zip(*found, strict=True)
+            whole = [rows.column("conv").combine_chunks().take(pa.array(starts)), pa.array([0] * len(found), pa.int64()), *(pa.array(x, pa.int32()) for x in (n_lines, n_turns, n_agree)), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(whole, names=[id_col, "part", "n_lines", "n_turns", "n_agree", "rendered"])
+
+    # conversations of one chunk: a task decodes the many that it has in one go
     short = lines.join(several, F.col("conv").eqNullSafe(F.col("of")), "left_anti")
-    whole = short.groupBy("conv").applyInPandas(lambda key, rows: render(key[0], 0, rows.sort_values("rank"), START, -1), schema)
+    laid = short.repartition("conv").sortWithinPartitions("conv", "rank")
+    whole = laid.select("rank", "conv", "given", "shown", *FEATURES).mapInArrow(rendered, schema)
     if several.isEmpty():
         return whole
     edges = materialise(_edges(model, long), "edges").select(F.col("conv").alias("edge_of"), F.col("chunk").alias("edge_at"), "before", "last")
@@ -225,9 +249,8 @@ def format_chat(ranked: DataFrame, model: Model, id_col: str = "conv_id") -> Dat
     told = long.join(edges, F.col("conv").eqNullSafe(F.col("edge_of")) & (F.col("chunk") == F.col("edge_at"))).join(ends, F.col("conv").eqNullSafe(F.col("end_of")))
 
     def part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = render(key[0], key[1], rows.sort_values("rank"), int(rows["before"].iloc[0]), int(rows["last"].iloc[0]))
-        if key[1] == rows["final"].iloc[0]:
-            out["rendered"] += "<|im_end|>\n"
-        return out
+        n_lines, turns, agree, text = render(rows.sort_values("rank"), int(rows["before"].iloc[0]), int(rows["last"].iloc[0]))
+        closing = "<|im_end|>\n" if key[1] == rows["final"].iloc[0] else ""
+        return pd.DataFrame({id_col: [key[0]], "part": [key[1]], "n_lines": [n_lines], "n_turns": [turns], "n_agree": [agree], "rendered": [text + closing]})
 
     return whole.union(told.groupBy("conv", "chunk").applyInPandas(part, schema))
