@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridfold.llm import shingles
-from gridfold.llm.common import materialise
+from gridfold.llm.common import Scratch, materialise
 from gridfold.llm.components import components
 
 BANDS, ROWS = 30, 6
@@ -148,38 +148,42 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one shingle of all of them. Null texts count as empty, and empty texts are one class; a null id counts as the least.
     Repeated rows are in one class. An empty table gives none.
     """
-    sketch = materialise(sketches(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    sketch = scratch.write(sketches(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = sketch.groupBy("class").agg(F.min(F.struct("id", "row")).alias("least"))
-    classes = materialise(classes.select("class", F.col("least.id").alias("class_id"), F.col("least.row").alias("node")), "classes")
+    classes = scratch.write(classes.select("class", F.col("least.id").alias("class_id"), F.col("least.row").alias("node")), "classes")
     nodes = sketch.join(classes.select("node"), F.col("row") == F.col("node"))
-    in_bands = materialise(nodes.select("node", "n", F.explode("bands").alias("key")), "bands")
+    in_bands = scratch.write(nodes.select("node", "n", F.explode("bands").alias("key")), "bands")
     drawn = [F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i), "key")).alias(f"c{i}") for i in range(CENTRES)]
     buckets = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *drawn).filter("members > 1")
     buckets = buckets.select("key", "members", F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("centres"))
-    met = materialise(in_bands.join(buckets, "key"), "buckets")
+    met = scratch.write(in_bands.join(buckets, "key"), "buckets")
     pairs = met.select("node", "n", F.explode("centres").alias("c")).filter((F.col("node") != F.col("c.node")) & _alike(F.col("n"), F.col("c.n"), threshold))
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    tried = materialise(pairs.select(*ordered("node", "c.node")).distinct(), "pairs")
+    tried = scratch.write(pairs.select(*ordered("node", "c.node")).distinct(), "pairs")
     sets = sketch.select(F.col("row").alias("node"), "shingles").join(met.select("node").distinct(), "node", "left_semi")
-    sets = materialise(sets, "sets")  # of the nodes that share a bucket: all that is compared from here on
-    links = materialise(_links(tried, sets, threshold), "links")
-    labels = components(links)
+    sets = scratch.write(sets, "sets")  # of the nodes that share a bucket: all that is compared from here on
+    links = scratch.write(_links(tried, sets, threshold), "links")
+    labels = components(links, scratch)
 
     # What is left: pairs of a bucket in different groups, which no comparison has joined or kept apart yet.
     in_buckets = met.select("key", "members", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     divided = in_buckets.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    rest = materialise(in_buckets.join(divided, "key", "left_semi"), "rest")
+    rest = scratch.write(in_buckets.join(divided, "key", "left_semi"), "rest")
     small = rest.filter(F.col("members") <= SMALL_BUCKET).withColumn("place", F.lit(0))
     large = rest.filter(F.col("members") > SMALL_BUCKET).select("node", "label").distinct()
     late = _across(small, "key", threshold).union(_across(_prefixes(large, sets, threshold), "shingle", threshold))
-    late = materialise(_links(late.distinct().join(tried, ["a", "b"], "left_anti"), sets, threshold), "links")
+    late = scratch.write(_links(late.distinct().join(tried, ["a", "b"], "left_anti"), sets, threshold), "links")
     if not late.isEmpty():
-        labels = components(links.union(late))
+        labels = components(links.union(late), scratch)
 
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = named.groupBy("label").agg(F.min(F.struct("class_id"))["class_id"].alias("group_id"))
     named = named.join(ids, "label").select("class", "class_id", "group_id")
-    return sketch.select(F.col("id").alias(id_col), "class").join(named, "class").select(id_col, "class_id", "group_id")
+    found = sketch.select(F.col("id").alias(id_col), "class").join(named, "class").select(id_col, "class_id", "group_id")
+    found = materialise(found, "near-groups")
+    scratch.drop()
+    return found
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

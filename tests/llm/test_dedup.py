@@ -7,6 +7,7 @@ import re
 import numpy as np
 
 from gridfold.llm import exact_dedup, near_dedup, shingles
+from gridfold.llm.common import Scratch
 from gridfold.llm.components import components
 
 SCHEMA = "doc_id long, text string, norm string, row int, salt int"
@@ -152,5 +153,5 @@ def test_null_ids_come_first(spark):
 
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (503, 503)]
-    found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
     assert set(found.values()) == {0, 500} and found[200] == 0 and found[501] == 500
