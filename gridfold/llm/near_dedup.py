@@ -148,21 +148,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one shingle of all of them. Null texts count as empty, and empty texts are one class; a null id counts as the least.
     Repeated rows are in one class. An empty table gives none.
     """
-    scratch = Scratch(docs.sparkSession, "near-dedup")
-    sketch = scratch.write(sketches(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    scratch, wide = (Scratch(docs.sparkSession, name) for name in ("near-dedup", "sketches"))
+    sketch = wide.write(sketches(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = sketch.groupBy("class").agg(F.min(F.struct("id", "row")).alias("least"))
     classes = scratch.write(classes.select("class", F.col("least.id").alias("class_id"), F.col("least.row").alias("node")), "classes")
     nodes = sketch.join(classes.select("node"), F.col("row") == F.col("node"))
-    in_bands = scratch.write(nodes.select("node", "n", F.explode("bands").alias("key")), "bands")
+    in_bands = wide.write(nodes.select("node", "n", F.explode("bands").alias("key")), "bands")
     drawn = [F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i), "key")).alias(f"c{i}") for i in range(CENTRES)]
     buckets = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *drawn).filter("members > 1")
     buckets = buckets.select("key", "members", F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("centres"))
     met = scratch.write(in_bands.join(buckets, "key"), "buckets")
+    sets = sketch.select(F.col("row").alias("node"), "shingles").join(met.select("node").distinct(), "node", "left_semi")
+    sets = scratch.write(sets, "sets")  # of the nodes that share a bucket: all that is compared from here on
+    who = scratch.write(sketch.select("id", "class"), "ids")
+    wide.drop()
     pairs = met.select("node", "n", F.explode("centres").alias("c")).filter((F.col("node") != F.col("c.node")) & _alike(F.col("n"), F.col("c.n"), threshold))
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     tried = scratch.write(pairs.select(*ordered("node", "c.node")).distinct(), "pairs")
-    sets = sketch.select(F.col("row").alias("node"), "shingles").join(met.select("node").distinct(), "node", "left_semi")
-    sets = scratch.write(sets, "sets")  # of the nodes that share a bucket: all that is compared from here on
     links = scratch.write(_links(tried, sets, threshold), "links")
     labels = components(links, scratch)
 
@@ -180,7 +182,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = named.groupBy("label").agg(F.min(F.struct("class_id"))["class_id"].alias("group_id"))
     named = named.join(ids, "label").select("class", "class_id", "group_id")
-    found = sketch.select(F.col("id").alias(id_col), "class").join(named, "class").select(id_col, "class_id", "group_id")
+    found = who.select(F.col("id").alias(id_col), "class").join(named, "class").select(id_col, "class_id", "group_id")
     found = materialise(found, "near-groups")
     scratch.drop()
     return found
