@@ -28,15 +28,26 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return near_dedup.near_dedup(docs)
 
 
+#: The targets of the mix, by source.
+WEIGHTS = mixing.by_temperature(0.5)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of a Pfair schedule of their sources by the square roots of their sizes."""
-    return mixing.mix(docs, mixing.by_temperature(0.5))
+    return mixing.mix(docs, WEIGHTS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences of 1024 tokens."""
-    pieces = packing.tokenize(docs, packing.vocabulary())
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    """Pieces of all documents and their places in sequences of 1024 tokens, which follow the mixed order.
+
+    Files do not keep the order of rows, so the schedule of the mix is made again from ids and sources.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    pieces = packing.tokenize(rows, packing.vocabulary(), "_row", keep=("doc_id", "source"))
+    pieces = materialise(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    slots = mixing.schedule(pieces.filter("piece = 0").select("_row", "doc_id", "source"), WEIGHTS)
+    pieces = pieces.drop("source").join(slots.select("_row", "slot", "in_block"), "_row")
+    return packing.pack_in_order(pieces, ["slot", "in_block", "piece"]).drop("_row", "slot", "in_block")
 
 
 STAGES = [("toxicity", without_toxic), ("exact dedup", without_copies), ("near dedup", without_near_copies), ("mixing", mixed), ("packing", packed)]

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridfold.llm.common import materialise
 from gridfold.llm.ranking import rank_within, unpacked
 
 CAPACITY = 1024
@@ -28,6 +29,8 @@ END_ID = 2
 #: Pieces up to this share of the capacity are small: they fill what configurations of two or more large pieces leave.
 SMALL_SHARE = 0.45
 GROUPS = 200
+#: Pieces that are packed together where sequences are to follow an order, and the groups of such a plan.
+WINDOW, WINDOW_GROUPS = 4096, 50
 #: The two tokenizer libraries split text alike below this code point; texts beyond it go to the slower one.
 LATIN_END = 0x250
 
@@ -83,8 +86,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
-def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of every document: ``id_col``, piece, start, length, ids (binary: little-endian unsigned 32-bit).
+def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pieces of every document: ``id_col``, the columns in ``keep``, piece, start, length, ids (binary: little-endian unsigned 32-bit).
 
     A document is the ids of its whole text (null: empty), then ``END_ID``. Only documents longer than the capacity
     are cut, into full pieces from the end, so that their first piece may be shorter.
@@ -93,8 +96,8 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
         for batch in batches:
-            keys, rows, size = batch.column(0), [], 0
-            for i, text in enumerate(batch.column(1)):
+            keys, rows, size = batch.columns[:-1], [], 0
+            for i, text in enumerate(batch.columns[-1]):
                 ids = np.append(encoder.ids(text.as_py() or ""), np.array([END_ID], "<u4"))
                 buffer = ids.tobytes()
                 ends = range(len(ids), 0, -capacity)
@@ -103,18 +106,22 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                     rows.append((i, k, start, end - start, buffer[4 * start : 4 * end]))
                 size += len(buffer)
                 if size > 4 << 20:
-                    yield _piece_batch(keys, rows, schema)
+                    yield _piece_batch(keys, rows, names)
                     rows, size = [], 0
             if rows:
-                yield _piece_batch(keys, rows, schema)
+                yield _piece_batch(keys, rows, names)
 
-    schema = pa.schema([(id_col, pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(pieces, f"`{id_col}` long, piece int, start long, length long, ids binary")
+    names = [id_col, *keep]
+    kept = docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), *[f"`{c}`" for c in keep], F.col(f"`{text_col}`").alias("_text"))
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    return kept.mapInArrow(pieces, f"{own}, piece int, start long, length long, ids binary")
 
 
-def _piece_batch(keys: pa.Array, rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+def _piece_batch(keys: list[pa.Array], rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     at, *columns = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(columns, schema.types[1:], strict=True))], schema=schema)
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    own = [key.take(pa.array(at)) for key in keys]
+    return pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[*names, "piece", "start", "length", "ids"])
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
@@ -132,6 +139,39 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     return placed.select(*unpacked(pieces.columns, ("sequence_id", "offset")), (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
 
 
+def pack_in_order(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, window: int = WINDOW, groups: int = WINDOW_GROUPS) -> DataFrame:
+    """Like :func:`pack`, with sequences in the order of ``pieces`` by the columns ``order``.
+
+    The pieces are cut in that order into windows of ``window`` pieces. Each window is packed on its own, and its sequences are
+    numbered after those of the windows before it, by their earliest piece: the sequences up to the end of a window hold the
+    pieces up to there and no others. Only the number of sequences of each window reaches the driver.
+    """
+
+    def planned(part: pa.Table) -> pa.Table:
+        part = part.sort_by("rank")
+        length = part.column("length").to_numpy()
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        of = {int(x): np.flatnonzero(length == x) for x in np.unique(length)}
+        for x, first, last, begin, at in place_table(plan_bins({x: len(rows) for x, rows in of.items()}, capacity, groups)):
+            rows = of[x][first : last + 1]
+            sequence[rows], offset[rows] = begin + np.arange(len(rows)), at
+        _, earliest, own = np.unique(sequence, return_index=True, return_inverse=True)
+        number = np.argsort(np.argsort(earliest))
+        return pa.table([part.column("row"), part.column("window"), pa.array(number[own]), pa.array(offset)], names=["row", "window", "sequence", "offset"])
+
+    by = [F.col(f"`{c}`") for c in order]
+    ranked, _ = rank_within(pieces.withColumn("_all", F.lit(0)).repartitionByRange(*by).sortWithinPartitions(*by), "_all", "packing")
+    ranked = ranked.select("row", "rank", F.floor(F.col("rank") / window).alias("window"), F.col("row.length").alias("length"))
+    kind = ranked.schema["row"].dataType.simpleString()
+    placed = materialise(ranked.groupBy("window").applyInArrow(planned, f"row {kind}, window long, sequence long, offset long"), "windows")
+    before, starts = 0, []
+    for r in placed.groupBy("window").agg((F.max("sequence") + 1).alias("n")).orderBy("window").collect():
+        starts.append((r["window"], before))
+        before += r["n"]
+    starts = F.broadcast(pieces.sparkSession.createDataFrame(starts, "window long, before long"))
+    return placed.join(starts, "window").select(*unpacked(pieces.columns, ("sequence_id", "offset")), (F.col("before") + F.col("sequence")).alias("sequence_id"), "offset")
+
+
 def place_table(bins: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
     """For each class of bins and each place in it: the length, the ranks that go there, the first bin, the offset."""
     taken: Counter[int] = Counter()

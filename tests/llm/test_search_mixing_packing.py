@@ -162,5 +162,30 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, sf).count() == pieces.count()
 
 
+def test_sequences_follow_the_mix(spark, monkeypatch):
+    """However the rows come and whatever their lengths, prefixes of sequences hold the sources by their weights."""
+    monkeypatch.setattr(packing.pack_in_order, "__defaults__", (1024, 256, 50))
+    rng = random.Random(3)
+    sizes = {"a": 1600, "b": 400, "c": 400}
+    rows = [(i, s, "word " * (rng.randint(500, 1000) if s == "a" else rng.randint(5, 400))) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5, "doc_id")
+    found = corpus_pipeline.packed(spark, docs, "").collect()
+    assert set(found[0].asDict()) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+    assert sorted(r["doc_id"] for r in found if not r["piece"]) == list(range(len(rows)))
+    bins = defaultdict(list)
+    for r in found:
+        bins[r["sequence_id"]].append((r["offset"], r["length"], rows[r["doc_id"]][1]))
+    assert sorted(bins) == list(range(len(bins)))
+    for own in bins.values():
+        own.sort()
+        assert [a for a, *_ in own] == np.cumsum([0, *(n for _, n, _ in own)])[:-1].tolist() and sum(n for _, n, _ in own) <= 1024
+    given, share = Counter(), {"a": 0.5, "b": 0.25, "c": 0.25}
+    for k in range(len(bins)):
+        given.update(s for *_, s in bins[k])
+        if given["b"] < 300 and given["c"] < 300:
+            for s, w in share.items():
+                assert abs(given[s] - w * given.total()) < 256 + 32, (k, given)
+
+
 def test_every_operator_has_its_query():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
