@@ -2,10 +2,10 @@
 
 The rows of a source are dealt into blocks of ``block_rows``. With weight w, block j of a source (from 0) is released at
 slot floor(j / w) and due by slot ceil((j + 1) / w); earliest deadline first fills every slot with one released block, so at
-any slot each source is less than one block away from its share. Weights are whole numbers of slots in a period, after which
-all sources are exactly at their shares and the pattern repeats: a block's slot follows from the pattern of one period by
-arithmetic, and the driver handles counts by source only. When a source has no blocks left, a new phase begins in which
-the others share its weight in proportion. No row is dropped or repeated.
+any slot each source is less than one block away from its share. The weights are the targets themselves, not rounded to a
+period. When a source has no blocks left, the others share its weight in proportion; the ideal that blocks are released
+and due by is piecewise linear over the whole run, so nothing begins anew and no deviation adds up. The driver handles counts by
+source and the slots of all blocks, one number for ``block_rows`` rows. No row is dropped or repeated.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from gridfold.llm.ranking import rank_within, unpacked
 
 BLOCK_ROWS = 32
-#: Slots in which every source's share is a whole number; there are at least four for each source.
-PERIOD = 1000
-#: Counts by source, and the patterns of the phases, are held by the driver and broadcast.
+#: Blocks of a source whose slots are one row of the plan.
+STRETCH = 1024
+#: Times so near to a whole slot are that slot: the ideal is computed in floating point.
+NEAR = 1e-6
+#: Counts by source, and the slots of their blocks, are held by the driver and broadcast.
 MAX_SOURCES = 500
 
 Weights = Callable[[dict], dict]
@@ -44,47 +47,73 @@ def shares(weights: dict, period: int) -> dict:
     return given
 
 
-def pattern(given: dict) -> dict:
-    """The slots of each source in one period: earliest deadline first among the released blocks."""
-    period = sum(given.values())
-    names = sorted(given, key=lambda s: (s is None, s))
-    waiting = [(0, i, 0) for i in range(len(names))]  # release, source, block
-    ready: list[tuple[int, int, int]] = []
-    slots: dict = {s: [] for s in names}
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // given[names[i]]), i, j))
-        _, i, j = heapq.heappop(ready)
-        slots[names[i]].append(t)
-        if j + 1 < given[names[i]]:
-            heapq.heappush(waiting, ((j + 1) * period // given[names[i]], i, j + 1))
+def ideal(blocks: dict, weights: dict, fluid: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """When the sources (by their place in ``blocks``) have had so many blocks, if all flow at once at their weights, and those
+    that are used up leave their weight to the others.
+
+    With v the slots for each unit of weight, a source has had min(weight * v, blocks) of its blocks.
+    """
+    n, w = (np.array([float(x[s]) for s in blocks]) for x in (blocks, weights))
+    order = np.argsort(n / w, kind="stable")
+    ends = (n / w)[order]
+    gone, flowing = np.concatenate([[0], np.cumsum(n[order])]), np.concatenate([np.cumsum(w[order][::-1])[::-1], [0]])
+    v = fluid / w[source]
+    at = np.searchsorted(ends, v, side="left")
+    return gone[at] + flowing[at] * v
+
+
+def earliest_deadline_first(blocks: dict, weights: dict) -> np.ndarray:
+    """The slot of every block: the blocks of the first source in their order, then those of the second, and so on."""
+    counts = np.array(list(blocks.values()), np.int64)
+    source = np.repeat(np.arange(len(counts)), counts)
+    j = np.arange(len(source)) - np.repeat(np.cumsum(counts) - counts, counts)
+    release = np.floor(ideal(blocks, weights, j, source) + NEAR).astype(np.int64)
+    due = np.ceil(ideal(blocks, weights, j + 1, source) - NEAR).astype(np.int64)
+    # Equal deadlines go by source: the blocks are numbered by source, so that pairs of deadline and number are one integer.
+    total = len(source)
+    key = (due * total + np.arange(total)).tolist() if total < 1 << 31 else list(zip(due.tolist(), range(total), strict=True))
+    waiting = np.argsort(release, kind="stable")
+    upto = np.searchsorted(release[waiting], np.arange(total), side="right").tolist()
+    waiting = waiting.tolist()
+    slots, ready, begun = np.zeros(total, np.int64), [], 0
+    for t in range(total):
+        while begun < upto[t] or not ready:
+            heapq.heappush(ready, key[waiting[begun]])
+            begun += 1
+        first = heapq.heappop(ready)
+        slots[first % total if isinstance(first, int) else first[1]] = t
     return slots
 
 
-def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple]:
-    """(source, its first and last block in the phase, the phase's first slot, period, slots in the period) for each phase."""
-    found, left, start = [], {s: n for s, n in blocks.items() if n}, 0
-    done = dict.fromkeys(left, 0)
-    while left:
-        slots = pattern(shares({s: weights[s] for s in left}, max(period, 4 * len(left))))
-        every = sum(map(len, slots.values()))
-        ends = {s: (n - 1) // len(slots[s]) * every + slots[s][(n - 1) % len(slots[s])] for s, n in left.items()}
-        end = min(ends.values()) + 1
-        for s in list(left):
-            took = end // every * len(slots[s]) + sum(t < end % every for t in slots[s])
-            if took:
-                found.append((s, done[s], done[s] + took - 1, start, every, slots[s]))
-                done[s] += took
-                left[s] -= took
-                if not left[s]:
-                    del left[s]
-        start += end
+def _sorted(of: dict) -> dict:
+    return {s: of[s] for s in sorted(of, key=lambda s: (s is None, s))}
+
+
+def pattern(given: dict) -> dict:
+    """The slots of each source in one period of so many slots for each."""
+    given = _sorted(given)
+    return dict(zip(given, np.split(earliest_deadline_first(given, given), np.cumsum(list(given.values()))[:-1]), strict=True))
+
+
+def phases(blocks: dict, weights: dict, period: int | None = None) -> list[tuple]:
+    """(source, first and last block, the first slot, slots in all, slots less the first one) for each stretch of ``STRETCH`` blocks
+    of a source. With ``period``, the targets are rounded to whole slots of such a period first."""
+    blocks = _sorted({s: n for s, n in blocks.items() if n})
+    if not blocks:
+        return []
+    if period:
+        weights = shares({s: weights[s] for s in blocks}, max(period, 4 * len(blocks)))
+    slots, found, at = earliest_deadline_first(blocks, weights), [], 0
+    for s, n in blocks.items():
+        for first in range(0, n, STRETCH):
+            own = slots[at + first : at + min(first + STRETCH, n)]
+            found.append((s, first, first + len(own) - 1, int(own[0]), len(slots), (own - own[0]).tolist()))
+        at += n
     return found
 
 
 def schedule(
-    docs: DataFrame, weights: dict | Weights, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int = PERIOD, seed: int = 0
+    docs: DataFrame, weights: dict | Weights, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int | None = None, seed: int = 0
 ) -> DataFrame:
     """``docs`` with ``block`` (of its source), ``slot`` and ``in_block``: the mixed order is by slot, then in_block.
 
@@ -104,10 +133,10 @@ def schedule(
         raise ValueError(f"no positive weight for {missing}")
     plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, target, period)
     kind = docs.schema[source_col].dataType.simpleString()
-    table = F.broadcast(spark.createDataFrame(plan, f"of {kind}, first long, last long, start long, every long, slots array<int>"))
-    j, share = F.col("block") - F.col("first"), F.size("slots")
-    placed = ranked.withColumn("block", F.floor(F.col("rank") / block_rows)).join(table, F.col("key").eqNullSafe(F.col("of")) & F.col("block").between(F.col("first"), F.col("last")))
-    slot = F.col("start") + F.floor(j / share) * F.col("every") + F.element_at("slots", (j % share + 1).cast("int"))
+    table = spark.createDataFrame([(s, first // STRETCH, start, own) for s, first, _, start, _, own in plan], f"of {kind}, stretch long, start long, slots array<long>")
+    block = F.floor(F.col("rank") / block_rows)
+    placed = ranked.withColumn("block", block).join(F.broadcast(table), F.col("key").eqNullSafe(F.col("of")) & (F.floor(F.col("block") / STRETCH) == F.col("stretch")))
+    slot = F.col("start") + F.element_at("slots", (F.col("block") % STRETCH + 1).cast("int"))
     return placed.select(*unpacked(docs.columns, ("block", "slot", "in_block")), "block", slot.alias("slot"), (F.col("rank") % block_rows).alias("in_block"))
 
 

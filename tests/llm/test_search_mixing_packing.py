@@ -49,6 +49,36 @@ def test_less_than_one_block_from_the_target(weights):
         assert np.abs(got - np.arange(1, 1001) * given[s] / 1000).max() < 1
 
 
+@pytest.mark.parametrize("weights, blocks", [({"a": 1, "b": 1, "c": 1}, 16000), ({"hot": 19**0.5, **{str(i): 2**0.5 for i in range(19)}}, 16000), ({"a": 999, "b": 1}, 3000), ({"a": 0.1, "b": 0.2, "c": 0.7}, 5000)])
+def test_less_than_one_block_from_the_weights_in_the_long_run(weights, blocks):
+    total = sum(weights.values())
+    slots = defaultdict(list)
+    for s, first, last, start, every, own in mixing.phases({s: int(blocks * w / total) + 2 for s, w in weights.items()}, weights):
+        slots[s] += [start + (b - first) // len(own) * every + own[(b - first) % len(own)] for b in range(first, last + 1)]
+    t = np.arange(1, blocks - 2 * len(weights))
+    for s, w in weights.items():
+        assert np.abs(np.searchsorted(slots[s], t) - t * w / total).max() < 1
+
+
+def test_less_than_one_block_from_the_weights_as_sources_run_out():
+    rng = np.random.default_rng(5)
+    blocks = {str(i): int(n) for i, n in enumerate(rng.integers(1, 60, 60))} | {"big": 900}
+    weights = {s: rng.random() + 0.1 for s in blocks} | {"big": 20.0}
+    slots = defaultdict(list)
+    for s, first, last, start, every, own in mixing.phases(blocks, weights):
+        slots[s] += [start + (b - first) // len(own) * every + own[(b - first) % len(own)] for b in range(first, last + 1)]
+    had, at = dict.fromkeys(blocks, 0.0), 0.0
+    for t in range(1, sum(blocks.values()) + 1):
+        while at < t - 1e-9:  # all flow until the slot or a source ends
+            left = {s: weights[s] for s in blocks if had[s] < blocks[s] - 1e-9}
+            rate = {s: w / sum(left.values()) for s, w in left.items()}
+            step = min(t - at, min((blocks[s] - had[s]) / r for s, r in rate.items()))
+            for s, r in rate.items():
+                had[s] += r * step
+            at += step
+        assert all(abs(np.searchsorted(slots[s], t) - had[s]) < 1 + 1e-6 for s in blocks)
+
+
 def test_phases_use_every_block_once():
     blocks = {"a": 1234, "b": 17, None: 400, "c": 1}
     found, slots = defaultdict(list), []
