@@ -25,8 +25,8 @@ BLOCK_ROWS = 32
 STRETCH = 1024
 #: Times so near to a whole slot are that slot: the ideal is computed in floating point.
 NEAR = 1e-6
-#: Counts by source, and the slots of their blocks, are held by the driver and broadcast.
-MAX_SOURCES = 500
+#: Plans of up to so many rows are broadcast; longer ones, of very many sources, are joined by a shuffle.
+BROADCAST_ROWS = 20_000
 
 Weights = Callable[[dict], dict]
 
@@ -119,23 +119,23 @@ def schedule(
 
     Columns of ``docs`` of these three names are replaced. ``weights`` are the targets by source, or a function that makes them from the sources' row counts. Within a source,
     rows come in an order hashed from id and ``seed``. A null source is a source of its own; a null id is as good as any;
-    rows with equal ids each get a place. A source without a positive weight raises ValueError, as do more
-    than ``MAX_SOURCES`` sources. An empty table gives none.
+    rows with equal ids each get a place. A source without a positive weight raises ValueError. Any
+    number of sources is scheduled. An empty table gives none.
     """
     spark = docs.sparkSession
     order = [F.col(f"`{source_col}`"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)), F.col(f"`{id_col}`")]
     ranked, counts = rank_within(docs.repartitionByRange(*order).sortWithinPartitions(*order), source_col, "mixing")
-    rows = {r["key"]: r["n"] for r in counts.limit(MAX_SOURCES + 1).collect()}
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; give them fewer names")
+    found = counts.toArrow()
+    rows = dict(zip(found["key"].to_pylist(), found["n"].to_pylist(), strict=True))
     target = weights(rows) if callable(weights) else weights
     if missing := [s for s in rows if not target.get(s, 0) > 0]:
         raise ValueError(f"no positive weight for {missing}")
     plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, target, period)
     kind = docs.schema[source_col].dataType.simpleString()
     table = spark.createDataFrame([(s, first // STRETCH, start, own) for s, first, _, start, _, own in plan], f"of {kind}, stretch long, start long, slots array<long>")
+    table = F.broadcast(table) if len(plan) <= BROADCAST_ROWS else table
     block = F.floor(F.col("rank") / block_rows)
-    placed = ranked.withColumn("block", block).join(F.broadcast(table), F.col("key").eqNullSafe(F.col("of")) & (F.floor(F.col("block") / STRETCH) == F.col("stretch")))
+    placed = ranked.withColumn("block", block).join(table, F.col("key").eqNullSafe(F.col("of")) & (F.floor(F.col("block") / STRETCH) == F.col("stretch")))
     slot = F.col("start") + F.element_at("slots", (F.col("block") % STRETCH + 1).cast("int"))
     return placed.select(*unpacked(docs.columns, ("block", "slot", "in_block")), "block", slot.alias("slot"), (F.col("rank") % block_rows).alias("in_block"))
 

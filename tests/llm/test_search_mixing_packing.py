@@ -105,6 +105,18 @@ def test_schedule_and_mix_keep_every_row(spark):
         mixing.schedule(df, {"big": 1.0})
 
 
+@pytest.mark.parametrize("broadcast_rows", [20_000, 10])
+def test_schedule_of_many_sources(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast_rows)
+    rows = [(i, f"host{i % 1500}" if i % 7 else None) for i in range(6000)]
+    placed = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), mixing.by_temperature(0.5), block_rows=2).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in placed) == Counter(rows)
+    assert len({(r["slot"], r["in_block"]) for r in placed}) == len(rows)
+    sizes = Counter(s for _, s in rows)
+    blocks = sum(-(-n // 2) for n in sizes.values())
+    assert {r["slot"] for r in placed} == set(range(blocks))
+
+
 # Packing ------------------------------------------------------------------------------------------------------------
 
 
