@@ -5,8 +5,8 @@ notices, adverts, forms, scripts, comments) are chrome; paragraphs under an arti
 are undecided. The token streams of chrome and undecided blocks of a host's pages are concatenated into a suffix array:
 all suffixes, range-partitioned and sorted by host and by their first ``DEPTH`` tokens. Suffixes that share them stand next
 to each other; if they come from distinct pages, their ``DEPTH`` tokens are part of a long repeated substring. (A longer
-repeat is a chain of such suffixes, so the depth loses nothing.) Undecided blocks of which repeats cover at least
-``COVERED`` are boilerplate and go; unique runs stay. A page of which nothing would stay is a copy of others, and stays whole.
+repeat is a chain of such suffixes: all ``DEPTH`` tokens of each are marked, in whichever blocks they are. A repeat of fewer tokens
+is not told from chance.) Undecided blocks of which repeats cover at least ``COVERED`` are boilerplate and go; unique runs stay. A page of which nothing would stay is a copy of others, and stays whole.
 """
 
 from __future__ import annotations
@@ -160,34 +160,44 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cut = blocks(page.as_py())
                 loose = any(k == UNDECIDED for _, k in cut)
                 texts.append("" if loose else "\n\n".join(t for t, k in cut if k == SURE))
-                undecided.append([{"text": t, "kind": k} for t, k in cut if k != REMOVED] if loose else None)
+                undecided.append([{"text": t, "kind": k, "first": at} for (t, k), at in zip(cut, _places(cut), strict=True) if k != REMOVED] if loose else None)
                 streams.append(_suffixes(cut))
-            kinds = [pa.string(), pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32())])), pa.list_(pa.struct([("block", pa.int32()), ("at", pa.int32()), ("prefix", pa.binary())]))]
+            kinds = [pa.string(), pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32()), ("first", pa.int32())])), pa.list_(pa.struct([("at", pa.int32()), ("near", pa.bool_()), ("prefix", pa.binary())]))]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((texts, undecided, streams), kinds, strict=True)] + list(part.columns[1:]), names=["text", "undecided", "suffixes", *part.schema.names[1:]])
 
 
+def _places(cut: list[tuple[str, int]]) -> list[int]:
+    """The place of each block's first token among all tokens of the page."""
+    return np.cumsum([0, *(len(text.split()) for text, _ in cut)])[:-1].tolist()
+
+
 def _suffixes(cut: list[tuple[str, int]]) -> list[dict]:
-    """The suffixes of a page's stream by their first ``DEPTH`` tokens (32 bits of each); ``block`` counts the blocks that
-    are not removed, or is -1; article text interrupts the stream."""
+    """The suffixes of a page's stream by their first ``DEPTH`` tokens (32 bits of each), ``at`` their place in the page;
+    ``near`` if one of these tokens is of an undecided block. Article text interrupts the stream."""
     out: list[dict] = []
-    run: list[tuple[int, bytes]] = []
-    kept = -1
+    words: list[bytes] = []
+    loose: list[bool] = []
 
-    def emit() -> None:
-        words = [(b, at, w) for b, text in run for at, w in enumerate(text.split())]
+    def emit(end: int) -> None:
         if len(words) >= DEPTH:
-            hashes, _ = shingles.word_hashes([b" ".join(w for *_, w in words)])
+            hashes, _ = shingles.word_hashes([b" ".join(words)])
             low = (hashes >> np.uint64(32)).astype(">u4").tobytes()
-            out.extend({"block": words[i][0], "at": words[i][1], "prefix": low[4 * i : 4 * (i + DEPTH)]} for i in range(len(words) - DEPTH + 1))
-        run.clear()
+            until = np.cumsum([0, *loose])
+            near = (until[DEPTH:] > until[:-DEPTH]).tolist()
+            out.extend({"at": end - len(words) + i, "near": near[i], "prefix": low[4 * i : 4 * (i + DEPTH)]} for i in range(len(words) - DEPTH + 1))
+        words.clear()
+        loose.clear()
 
+    end = 0
     for text, kind in cut:
-        kept += kind != REMOVED
+        own = text.encode().split()
         if kind == SURE:
-            emit()
+            emit(end)
         else:
-            run.append((kept if kind == UNDECIDED else -1, text.encode()))
-    emit()
+            words.extend(own)
+            loose.extend([kind == UNDECIDED] * len(own))
+        end += len(own)
+    emit(end)
     return out
 
 
@@ -219,14 +229,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     of_host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)", 1), F.lit("")))
     own = pages.select(F.col(html_col).alias("html"), F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url")).alias("key"), of_host.alias("host"))
     key_type = own.schema["key"].dataType.simpleString()
-    cut = own.mapInArrow(_parsed, f"text string, undecided array<struct<text:string,kind:int>>, suffixes array<struct<block:int,at:int,prefix:binary>>, key {key_type}, host string")
+    cut = own.mapInArrow(_parsed, f"text string, undecided array<struct<text:string,kind:int,first:int>>, suffixes array<struct<at:int,near:boolean,prefix:binary>>, key {key_type}, host string")
     cut = materialise(cut.withColumn("row", F.monotonically_increasing_id()), "pages")
 
     suffixes = cut.select("row", F.xxhash64("host").alias("host"), F.xxhash64("key").alias("page"), F.inline("suffixes"))
     array = suffixes.select("host", "prefix", "page").repartitionByRange("host", "prefix", "page").sortWithinPartitions("host", "prefix", "page")
     runs = array.mapInArrow(_shared, "host long, prefix binary, low long, high long")
     repeated = runs.groupBy("host", "prefix").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("host", "prefix")
-    covered = suffixes.filter("block >= 0").join(repeated, ["host", "prefix"]).groupBy("row").agg(F.collect_set(F.struct("block", "at")).alias("starts"))
+    covered = suffixes.filter("near").join(repeated, ["host", "prefix"]).groupBy("row").agg(F.collect_set("at").alias("starts"))
 
     loose = cut.filter(F.col("undecided").isNotNull()).select("row", "key", "undecided").join(covered, "row", "left")
     ends = loose.select("key", F.filter(F.transform("undecided", _kept), lambda t: t.isNotNull()).alias("kept"), F.transform("undecided", lambda b: b["text"]).alias("all"))
@@ -235,9 +245,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return text.select(F.col("key.id").alias(id_col), F.col("key.url").alias(url_col), "text")
 
 
-def _kept(block, i):
-    """The block's text, or null where repeats cover enough of it. A repeat that begins in a block may end beyond it."""
+def _kept(block):
+    """The block's text, or null where repeats cover enough of it. A repeat may begin before the block or end beyond it."""
     n = F.size(F.split(block["text"], " "))
-    starts = F.transform(F.filter(F.coalesce(F.col("starts"), F.array()), lambda s: s["block"] == i), lambda s: s["at"])
-    covered = F.size(F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, F.least(s + DEPTH, n) - 1)))))
+    first, end = block["first"], block["first"] + n
+    starts = F.filter(F.coalesce(F.col("starts"), F.array().cast("array<int>")), lambda s: (s > first - DEPTH) & (s < end))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(F.greatest(s, first), F.least(s + DEPTH, end) - 1)))))
     return F.when((block["kind"] == SURE) | (covered < COVERED * n), block["text"])

@@ -203,3 +203,17 @@ def test_repeats_of_a_host_go_and_unique_runs_stay(spark):
     assert [found[i] for i in range(6)] == own and found[10] == promo and found[11] == "" and found[12] == promo
     assert found[20] == found[21] == own[0]
     assert html_text.main_text(df).count() == len(rows) and html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_repeats_cover_blocks_across_their_edges(spark):
+    """A menu of short blocks repeats as a whole, as does the end of a run that begins in known chrome."""
+    rows = []
+    for i in range(4):
+        own = f"<p>{' '.join(f'w{i}x{j}' for j in range(30))}</p><div>Unique {i}</div>"
+        menu = "".join(f"<div>item{j}</div>" for j in range(10))
+        rows.append((i, f"https://a.org/{i}", f"<body>{menu}{own}</body>"))
+        rows.append((10 + i, f"https://b.org/{i}", f"<body><nav>one two three four five six</nav><div>seven eight</div>{own}</body>"))
+    found = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        own = f"{' '.join(f'w{i}x{j}' for j in range(30))}\n\nUnique {i}"
+        assert found[i] == own and found[10 + i] == own
