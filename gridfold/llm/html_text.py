@@ -2,7 +2,7 @@
 
 Every page is cut into blocks. Blocks under elements that never hold article text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, comments) are chrome; paragraphs under an article or main element are article text; all others
-are undecided. The token streams of chrome and undecided blocks of a host's pages are concatenated into a suffix array:
+are undecided. What is outside an article, main or content element goes only if those of its rank and above hold most of the text. The token streams of chrome and undecided blocks of a host's pages are concatenated into a suffix array:
 all suffixes, range-partitioned and sorted by host and by their first ``DEPTH`` tokens. Suffixes that share them stand next
 to each other; if they come from distinct pages, their ``DEPTH`` tokens are part of a long repeated substring. (A longer
 repeat is a chain of such suffixes: all ``DEPTH`` tokens of each are marked, in whichever blocks they are. A repeat of fewer tokens
@@ -46,11 +46,15 @@ CHROME_WORDS = frozenset(
     "adsbygoogle outbrain taboola footer cookie cookies consent gdpr notice popup modal overlay subscribe subscription newsletter signup login "
     "comment comments commentlist disqus reply replies respond related recommended recommendations share sharing social widget pagination pager toolbar paywall".split()
 )
+#: Chrome words that no heading or section is named by, and the words that make up names of chrome with others of ``CHROME_WORDS``.
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement adsbygoogle outbrain taboola disqus commentlist sidebar navbar breadcrumb breadcrumbs newsletter".split())
+FORM_WORDS = frozenset("posts articles stories button buttons icon icons bar tools slot unit form count prompt cta thread site page primary secondary inline sticky div gpt dfp google".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies".split())
 NOT_ITSELF = frozenset("has with no without layout template theme grid columns".split())
 WRAPPERS = frozenset("wrapper wrap container box block section area inner outer list item items holder panel region group row col column left right top bottom desktop mobile text link links".split())
 CONTENT_WORDS = frozenset("article content post entry story main".split())
+CHROME_NAMES = CHROME_WORDS | FORM_WORDS | HEADER_WORDS | WRAPPERS | CONTENT_WORDS
 CLOSES_PARAGRAPH = BLOCK - frozenset("caption legend option optgroup summary tbody td tfoot th thead tr html head body button dd dt li".split())
 LIKE = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPE = frozenset("ul ol dl table select article main section div body html aside nav form header footer".split())
@@ -58,9 +62,10 @@ SCOPE = frozenset("ul ol dl table select article main section div body html asid
 SURE, UNDECIDED, REMOVED = 0, 1, 2
 
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+def _kind(tag: str, attributes: str, inside: bool = False) -> tuple[bool, bool, bool]:
     """Whether an element is chrome, is named like the page's content, and is a header (which in an article is its own). A name
-    is told by its first and its last word that is not of a wrapper: "post-footer" and "site-nav-box" are chrome, "has-sidebar" says nothing of itself."""
+    is told by its first and its last word that is not of a wrapper: "post-footer" and "site-nav-box" are chrome, "has-sidebar" says nothing of itself. Inside an article or main element, where names are
+often made from headings, all words must be of chrome: "related-posts" is, "related-work" is not."""
     chrome, content, header = tag in CHROME, False, tag == "header"
     if attributes and tag not in ("html", "body"):
         for name, value in _ATTRIBUTE.findall(attributes):
@@ -77,7 +82,10 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
                     while len(words) > 1 and words[-1] in WRAPPERS:
                         words.pop()
                     ends = {words[0], words[-1]}
-                    chrome = chrome or not ends.isdisjoint(COMMENT_WORDS if tag in ("main", "article") else CHROME_WORDS)
+                    named = not ends.isdisjoint(COMMENT_WORDS if tag in ("main", "article") else CHROME_WORDS)
+                    if named and inside and (name == "id" or ends.isdisjoint(ADVERT_WORDS)):
+                        named = all(len(w) == 1 or w in CHROME_NAMES for w in words)
+                    chrome = chrome or named
                     header = header or not ends.isdisjoint(HEADER_WORDS)
                     content = content or not ends.isdisjoint(CONTENT_WORDS)
     return chrome, content, header
@@ -142,13 +150,14 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 close(LIKE[tag], SCOPE)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
-        chrome, content, header = _kind(tag, m[3])
         _, above, container = stack[-1]
+        chrome, content, header = _kind(tag, m[3], container >= 2)
         chrome = chrome or header and container < 2 and tag not in ("main", "article")
         stack.append((tag, above or chrome, max(container, 3 if tag == "article" else 2 if tag == "main" else int(content))))
     flush()
-    best = max((c for _, chrome, c, _ in found if not chrome), default=0)
-    return [(t, REMOVED if chrome or c < best else SURE if best >= 2 and paragraph else UNDECIDED) for t, chrome, c, paragraph in found]
+    held = [sum(len(t) for t, chrome, c, _ in found if not chrome and c >= rank) for rank in range(4)]
+    least = next((rank for rank in (3, 2, 1) if 2 * held[rank] > held[0]), 0)
+    return [(t, REMOVED if chrome or c < least else SURE if c >= 2 and paragraph else UNDECIDED) for t, chrome, c, paragraph in found]
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

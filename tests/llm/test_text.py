@@ -217,3 +217,16 @@ def test_repeats_cover_blocks_across_their_edges(spark):
     for i in range(4):
         own = f"{' '.join(f'w{i}x{j}' for j in range(30))}\n\nUnique {i}"
         assert found[i] == own and found[10 + i] == own
+
+
+def test_containers_with_little_of_the_text_remove_nothing():
+    story = " ".join(f"word{i}" for i in range(60))
+    assert text_of(f"<body><main><p>{story}</p><article><p>A teaser</p></article></main></body>") == f"{story}\n\nA teaser"
+    assert html_text.blocks(f'<body><div class="post-date">May 5</div><div>{story}</div></body>') == [("May 5", html_text.UNDECIDED), (story, html_text.UNDECIDED)]
+    assert [t for t, k in html_text.blocks(f"<body><div>Outside</div><article><p>{story}</p></article></body>") if k != html_text.REMOVED] == [story]
+
+
+def test_names_made_from_headings_are_no_chrome_inside_an_article():
+    body = '<h2 id="social-impact">Impact</h2><section id="related-work"><p>Work</p></section><h2 id="ad-hoc-methods">Methods</h2>'
+    chrome = '<div class="ad">x</div><div class="ad-300x250">x</div><div id="comments">x</div><div class="related-posts">x</div><div class="share-buttons">x</div><div id="div-gpt-ad-12">x</div>'
+    assert text_of(f"<article>{body}{chrome}</article>") == "Impact\n\nWork\n\nMethods"
