@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from gridfold.llm import exact_dedup, near_dedup, shingles
 from gridfold.llm.common import Scratch
@@ -25,9 +27,10 @@ def fixture():
     return [(i, t, "n", 1, 2) for i, t in rows]
 
 
-def test_report_like_brute_force(spark):
+@pytest.mark.parametrize("partitions", [1, 16, 1000])
+def test_report_like_brute_force(spark, partitions):
     rows = fixture()
-    found = exact_dedup.exact_dedup_report(spark.createDataFrame(rows, SCHEMA), salts=4).collect()
+    found = exact_dedup.exact_dedup_report(spark.createDataFrame(rows, SCHEMA), partitions=partitions).collect()
     assert len(found) == len(rows)
     groups = {}
     for i, t, *_ in rows:
@@ -42,16 +45,38 @@ def test_report_like_brute_force(spark):
     assert set(kept.values()) == {1}
 
 
-def test_survivors_keep_their_columns(spark):
+@pytest.mark.parametrize("partitions", [1, 1000])
+def test_survivors_keep_their_columns(spark, partitions):
     rows = fixture()
     df = spark.createDataFrame(rows, SCHEMA)
-    found = exact_dedup.exact_dedup(df, salts=4)
+    found = exact_dedup.exact_dedup(df, partitions=partitions)
     assert found.columns == df.columns
     kept = found.collect()
     assert sorted(norm(r["text"]) for r in kept) == sorted({norm(t) for _, t, *_ in rows})
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0 and exact_dedup.exact_dedup_report(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_the_sort_join_all_copies(spark, monkeypatch):
+    """All pairs of copies that are not cut apart for their number are joined by the comparison of neighbours, and only these."""
+    rows = fixture()
+    monkeypatch.setattr(exact_dedup, "PART", 0.5)
+    df, distinct = spark.createDataFrame(rows, SCHEMA), len({norm(t) for _, t, *_ in rows})
+    sorted_rows, cut = exact_dedup.content_sort(df, "doc_id", "text", 1)
+    assert not cut and sorted_rows.filter("not new").count() == len(rows) - distinct
+
+
+def test_texts_with_very_many_copies_are_cut_by_need(spark):
+    same, head = "the same text " * 30, "one head for all of them " * 20
+    rows = [(i, same) for i in range(20_000)] + [(100_000 + i, f"{head}{i}") for i in range(9_000)] + [(200_000 + i, f"other {i % 900}") for i in range(1_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sorted_rows, cut = exact_dedup.content_sort(df, "doc_id", "text", 16)
+    runs = sorted_rows.groupBy("salted", *exact_dedup.KEY).agg(F.count("id").alias("n"), F.sum(F.col("new").cast("int")).alias("texts")).collect()
+    assert cut and len([r for r in runs if r["salted"]]) == -(-20_000 // (30_000 // 64)) and max(r["n"] for r in runs) < 1000
+    found = exact_dedup.exact_dedup_report(df, partitions=16).collect()
+    assert {(r["keep_id"], r["group_size"]) for r in found if r["doc_id"] < 100_000} == {(0, 20_000)}
+    assert sum(r["kept"] for r in found) == 1 + 9_000 + 900 and exact_dedup.exact_dedup(df, partitions=16).count() == 9_901
+
+
 def sets(text):
     w = (text or "").lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
