@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -161,14 +162,73 @@ def test_trees_add_what_looks_like_base_spans(spark):
     for i in range(800):
         mail, phone = f"user{i}@mail{i % 9}.example.com", f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
         rows.append((i, f"write to {mail} now, or call {phone} please; order {rng.randint(1, 99)} of {rng.randint(1000, 9999)}"))
-    rows += [(2000 + i, f"write to user{i} (at) mail{i % 9}.example.com now") for i in range(5)]
+    rows += [(2000 + i, f"write to user{rng.randint(100, 799)} (at) mail{i % 9}.example.com now") for i in range(20)]
     found = {r["doc_id"]: r["s"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()}
-    assert all(found[2000 + i].startswith("email:9:") for i in range(5))
+    assert all(found[2000 + i].startswith("email:9:") for i in range(20))
     assert all(len(found[i].split(",")) == 2 for i in range(800))
     hidden = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert hidden[2001] == "write to [email] now" and re.fullmatch(r"write to \[email\] now, or call \[phone\] please; order \d+ of \d+", hidden[3])
 
 
+def test_many_candidates_in_one_text(spark):
+    """The time is in proportion to the text, but for a root of its number of matches."""
+    text = "12345678 ab " * 100_000
+    began = time.perf_counter()
+    (row,) = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row["base"] == [] and time.perf_counter() - began < 90
+    text = "1.2.3.4 a1@b.cd, +1 (234) 567-8901;" * 3_000
+    (row,) = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(pii.written(F.col("base")).alias("b")).collect()
+    assert row["b"] == base_of(text)
+
+
+@pytest.mark.parametrize("loose_share", [0.1, 0.33])
+def test_loose_forms_are_found_on_held_out_documents(spark, loose_share):
+    """Addresses with "(at)", phones without a plus and cards without a check digit, among numbers that are nothing of the kind."""
+    rng = random.Random(11)
+    rows, planted = [], {}
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    for i in range(3000):
+        kind, loose = rng.choice(["email", "phone", "card", "none"]), rng.random() < loose_share
+        if kind == "email":
+            mid, dot = rng.choice([(" (at) ", "."), (" at ", " dot ")]) if loose else ("@", ".")
+            found = f"user{digits(2)}{mid}mail{i % 9}{dot}example{dot}com"
+        elif kind == "phone":
+            found = f"{'' if loose else '+'}1 {digits(3)} 555 {digits(4)}"
+        elif kind == "card":
+            body = digits(15)
+            check = next(c for c in "0123456789" if luhn(body + c))
+            found = body + (rng.choice([c for c in "0123456789" if c != check]) if loose else check)
+        else:
+            found, loose = rng.choice([f"on {digits(4)}-{digits(2)}-{digits(2)}", f"costs {digits(3)}.{digits(2)}", f"v{digits(1)}.{digits(1)}", f"page {digits(3)}", f"id {digits(6)}"]), False
+        head = f"some words {rng.choice(['here', 'there', 'then'])} "
+        rows.append((i, f"{head}{found} and more."))
+        if loose:
+            planted[i] = (len(head), len(head) + len(found))
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).filter("crc32(cast(doc_id as string)) % 5 = 0").collect()
+    added = {(r["doc_id"], s["start"], s["end"]) for r in found for s in r["spans"] if s not in r["base"]}
+    want = {(i, *planted[i]) for i in (r["doc_id"] for r in found) if i in planted}
+    assert len(added & want) >= 0.9 * len(want) and len(added & want) >= 0.9 * len(added), (len(added), len(want), len(added & want))
+
+
+def test_numbers_that_only_look_alike_at_times_are_left_alone(spark):
+    """Where half of the candidates of a pattern are base spans and all others are known, none is added."""
+    rng = random.Random(12)
+    score, n = np.array([2.0, 0.0, -3.0]), np.array([100.0, 200.0, 700.0])
+    assert pii.threshold(score, n, np.array([1.0, 0, 0]), np.array([0.0, 1, 1])) is None
+    rows = [(i, f"call +1 (234) 567-{rng.randint(1000, 9999)} on {rng.randint(10, 28)}.{rng.randint(10, 12)}.2024, page {rng.randint(100, 999)} of {rng.randint(1000, 99999)}") for i in range(500)]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["spans"] == r["base"] and len(r["base"]) == 1 for r in found)
+
+
+def test_redaction_keeps_rows_and_their_columns(spark):
+    rows = [(1, "mail a1@b.cd now", 7), (1, "mail a1@b.cd now", 7), (None, None, 8), (2, "", 9), (3, "1.2.3.4" + " x" * 50_000 + " 5.6.7.8", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, nth int")
+    done = pii.redact(df)
+    assert done.columns == df.columns
+    want = [(1, "mail [email] now", 7)] * 2 + [(None, None, 8), (2, "", 9), (3, "[ip]" + " x" * 50_000 + " [ip]", 9)]
+    assert sorted(map(tuple, done.collect()), key=repr) == sorted(want, key=repr) and pii.redact(df.limit(0)).count() == 0
+
+
 # Main text ----------------------------------------------------------------------------------------------------------
 
 
