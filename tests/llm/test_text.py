@@ -279,6 +279,57 @@ def test_repeats_cover_blocks_across_their_edges(spark):
         assert found[i] == own and found[10 + i] == own
 
 
+def brute_text(rows):
+    """The texts of pages of plain <div> blocks: without every token in a run of DEPTH tokens that a page of another text on the host has."""
+    pages = {}
+    for i, host, cut in rows:
+        pages[i] = (host, [w for b in cut for w in b.split()], cut)
+    windows = lambda words: {tuple(words[k : k + html_text.DEPTH]) for k in range(len(words) - html_text.DEPTH + 1)}
+    out = {}
+    for i, (host, words, cut) in pages.items():
+        others = set().union(*(windows(w) for h, w, _ in pages.values() if h == host and w != words))
+        covered = set()
+        for k in range(len(words) - html_text.DEPTH + 1):
+            if tuple(words[k : k + html_text.DEPTH]) in others:
+                covered.update(range(k, k + html_text.DEPTH))
+        at, kept = 0, []
+        for b in cut:
+            own = b.split()
+            if left := " ".join(w for n, w in enumerate(own, at) if n not in covered):
+                kept.append(left)
+            at += len(own)
+        out[i] = "\n\n".join(kept)
+    return out
+
+
+def test_covered_runs_like_brute_force(spark):
+    rng = random.Random(21)
+    passages = [" ".join(rng.choice("abcde") for _ in range(rng.randint(5, 60))) for _ in range(8)]
+    rows = []
+    for i in range(300):
+        cut = []
+        for _ in range(rng.randint(1, 5)):
+            own = " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 25)))
+            cut.append(" ".join(rng.sample([own, rng.choice(passages), own[::-1]], rng.randint(1, 3))))
+        rows.append((i, "hot.example" if i % 3 else f"h{i % 4}.example", cut))
+    rows += [(400 + k, "hot.example", ["one two three " * 400]) for k in range(3)] + [(500, "hot.example", [f"{passages[0]} " * 300]), (501, "hot.example", [passages[0] or "x"] * 2)]
+    rows += [(600 + k, "hot.example", [f"all the pages of this host say the very same thing at their end and {k}"]) for k in range(300)]
+    df = spark.createDataFrame([(i, f"https://{h}/{i}", "<body>" + "".join(f"<div>{b}</div>" for b in cut) + "</body>") for i, h, cut in rows], "page_id long, url string, html string").repartition(7)
+    want = brute_text([(i, h, [" ".join(b.split()) for b in cut]) for i, h, cut in rows])
+    found = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert found == want and len(found[600].split()) == 1
+
+
+def test_pages_of_any_length():
+    began = time.perf_counter()
+    for unit in ("<a ", "<a '", "<!x ", "<b></i>", "<script></script ", '<a "x', "<p>x", "&", "<i><div><b>"):
+        html_text.blocks(unit * (2_000_000 // len(unit) // 4))
+    html_text.blocks("<a " * 700_000)
+    html_text.blocks("<b>" * 100_000 + "</div>" * 100_000 + "</i>" * 100_000 + "x<p>" * 100_000)
+    assert time.perf_counter() - began < 90
+    assert text_of("<article><p>" + "word " * 500_000 + "</p></article>") == ("word " * 500_000).strip()
+
+
 def test_containers_with_little_of_the_text_remove_nothing():
     story = " ".join(f"word{i}" for i in range(60))
     assert text_of(f"<body><main><p>{story}</p><article><p>A teaser</p></article></main></body>") == f"{story}\n\nA teaser"
