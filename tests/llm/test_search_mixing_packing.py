@@ -1,7 +1,9 @@
 """Search, mixing, packing and the pipeline."""
 
+import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -39,34 +41,75 @@ def test_search_like_brute_force(spark):
 # Mixing -------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 1}, {str(i): 1 + i**2 for i in range(23)}])
-def test_less_than_one_block_from_the_target(weights):
-    given = mixing.shares(weights, 1000)
-    slots = mixing.pattern(given)
-    assert sum(given.values()) == 1000 and sorted(t for ts in slots.values() for t in ts) == list(range(1000))
-    for s, ts in slots.items():
-        got = np.searchsorted(ts, np.arange(1, 1001))
-        assert np.abs(got - np.arange(1, 1001) * given[s] / 1000).max() < 1
-
-
-@pytest.mark.parametrize("weights, blocks", [({"a": 1, "b": 1, "c": 1}, 16000), ({"hot": 19**0.5, **{str(i): 2**0.5 for i in range(19)}}, 16000), ({"a": 999, "b": 1}, 3000), ({"a": 0.1, "b": 0.2, "c": 0.7}, 5000)])
-def test_less_than_one_block_from_the_weights_in_the_long_run(weights, blocks):
-    total = sum(weights.values())
+def slots_of(blocks, weights, window):
     slots = defaultdict(list)
-    for s, first, last, start, every, own in mixing.phases({s: int(blocks * w / total) + 2 for s, w in weights.items()}, weights):
-        slots[s] += [start + (b - first) // len(own) * every + own[(b - first) % len(own)] for b in range(first, last + 1)]
+    for rows in mixing.plan(blocks, weights, window):
+        for s, stretch, first, last, own in rows:
+            assert len(own) == last - first + 1 and first // mixing.STRETCH == last // mixing.STRETCH == stretch and len(slots[s]) == first
+            slots[s] += own
+    assert sorted(t for ts in slots.values() for t in ts) == list(range(sum(blocks.values()))) and all(len(slots[s]) == n for s, n in blocks.items())
+    return slots
+
+
+LONG = [
+    {"a": 1, "b": 1, "c": 1},
+    {"hot": 19**0.5, **{str(i): 2**0.5 for i in range(19)}},
+    {"a": 0.9, "b": 0.1},
+    {"a": 1.0, "rare": 1e-4},
+    {"pi": np.pi, "e": np.e, "root": 2**0.5, "tiny": 1e-3},
+    {str(i): 1 + i**2 for i in range(23)},
+]
+
+
+@pytest.mark.parametrize("weights", LONG)
+def test_less_than_one_block_from_the_given_weights_in_the_long_run(weights):
+    """For the targets themselves, at every slot up to 100,000, whatever the window."""
+    blocks, total = 100_000, sum(weights.values())
+    slots = slots_of({s: int(blocks * w / total) + 2 for s, w in weights.items()}, weights, 30_000)
     t = np.arange(1, blocks - 2 * len(weights))
     for s, w in weights.items():
-        assert np.abs(np.searchsorted(slots[s], t) - t * w / total).max() < 1
+        assert np.abs(np.searchsorted(slots[s], t) - t * w / total).max() < 1 + 1e-6
+
+
+def exact_slots(blocks, weights):
+    """Earliest deadline first in fractions, slot by slot, with the ideal that flows until sources run out."""
+    w = {s: Fraction(x) for s, x in weights.items()}
+    had, release, due, at = dict.fromkeys(blocks, Fraction(0)), defaultdict(list), defaultdict(list), Fraction(0)
+    while any(had[s] < n for s, n in blocks.items()):
+        left = [s for s, n in blocks.items() if had[s] < n]
+        rate = {s: w[s] / sum(w[x] for x in left) for s in left}
+        step = min((math.floor(had[s]) + 1 - had[s]) / rate[s] for s in left)  # to the next whole block of any source
+        for s in left:
+            if had[s].denominator == 1 and len(release[s]) == had[s]:
+                release[s].append(math.floor(at))
+            had[s] += rate[s] * step
+            if had[s].denominator == 1:
+                due[s].append(math.ceil(at + step))
+        at += step
+    slots, done = defaultdict(list), dict.fromkeys(blocks, 0)
+    for t in range(sum(blocks.values())):
+        ready = [(due[s][done[s]], k, s) for k, s in enumerate(blocks) if done[s] < blocks[s] and release[s][done[s]] <= t]
+        s = min(ready)[2]
+        slots[s].append(t)
+        done[s] += 1
+    return slots
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("window", [7, 1 << 20])
+def test_schedule_like_exact_fractions(seed, window):
+    """Also as sources run out one after the other."""
+    rng = np.random.default_rng(seed)
+    blocks = {str(i): int(n) for i, n in enumerate(rng.integers(1, 40, 9))} | {"x": 120}
+    weights = {s: float(rng.random() + 0.01) for s in blocks}
+    assert slots_of(blocks, weights, window) == exact_slots(blocks, weights)
 
 
-def test_less_than_one_block_from_the_weights_as_sources_run_out():
+def test_sources_that_run_out_leave_their_weight():
     rng = np.random.default_rng(5)
     blocks = {str(i): int(n) for i, n in enumerate(rng.integers(1, 60, 60))} | {"big": 900}
     weights = {s: rng.random() + 0.1 for s in blocks} | {"big": 20.0}
-    slots = defaultdict(list)
-    for s, first, last, start, every, own in mixing.phases(blocks, weights):
-        slots[s] += [start + (b - first) // len(own) * every + own[(b - first) % len(own)] for b in range(first, last + 1)]
+    slots = slots_of(blocks, weights, 100)
     had, at = dict.fromkeys(blocks, 0.0), 0.0
     for t in range(1, sum(blocks.values()) + 1):
         while at < t - 1e-9:  # all flow until the slot or a source ends
@@ -79,15 +122,18 @@ def test_less_than_one_block_from_the_weights_as_sources_run_out():
         assert all(abs(np.searchsorted(slots[s], t) - had[s]) < 1 + 1e-6 for s in blocks)
 
 
-def test_phases_use_every_block_once():
-    blocks = {"a": 1234, "b": 17, None: 400, "c": 1}
-    found, slots = defaultdict(list), []
-    for s, first, last, start, every, own in mixing.phases(blocks, dict.fromkeys(blocks, 1.0)):
-        for b in range(first, last + 1):
-            found[s].append(b)
-            slots.append(start + (b - first) // len(own) * every + own[(b - first) % len(own)])
-    assert {s: sorted(b) for s, b in found.items()} == {s: list(range(n)) for s, n in blocks.items()}
-    assert sorted(slots) == list(range(sum(blocks.values())))
+def test_plans_use_every_block_once():
+    slots_of({"a": 12340, "b": 17, None: 400, "c": 1}, dict.fromkeys(["a", "b", "c", None], 1.0), 1000)
+    assert list(mixing.plan({}, {})) == list(mixing.plan({"a": 0}, {"a": 1.0})) == []
+
+
+def test_plans_of_several_windows_and_rows_that_are_all_alike(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "WINDOW", 40)
+    rows = [(1, "a", "copy")] * 900 + [(i, "b", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, row string").repartition(3)
+    placed = mixing.schedule(df, {"a": 0.75, "b": 0.25}, block_rows=8).collect()
+    assert len({(r["slot"], r["in_block"]) for r in placed}) == len(rows) and {r["slot"] for r in placed} == set(range(113 + 38))
+    assert Counter(map(tuple, mixing.mix(df, {"a": 0.75, "b": 0.25}, block_rows=8).collect())) == Counter(rows)
 
 
 def test_schedule_and_mix_keep_every_row(spark):
