@@ -3,15 +3,17 @@
 Each text is the set of its distinct word 5-shingles, weighted by 1 + log(count). Exponential arrivals with early termination
 (``shingles.prob_min_hash``) give a signature; ``BANDS`` bands of ``ROWS`` components put texts into buckets. Texts with the
 same shingles are one class, which has one representative. Representatives that share a bucket are candidates, and a
-candidate pair is a link when the Jaccard similarity of the two shingle sets is at least ``threshold``. A group is a connected
-component of links.
+candidate pair is a link when what the signatures estimate, the probability Jaccard similarity of the two weighted sets, is at least
+``threshold``: it is computed from all their shingles (64-bit hashes) and counts. A group is a connected component of links. With
+signatures of 180 components, a pair of similarity 0.8 shares a bucket with a probability of 0.9999.
 
 A bucket is not expanded into its pairs. First each of its members is compared with a few of them drawn at random; then
 only members of a bucket that are still in different groups are compared, as only these can change a group. In a large bucket,
-those are found by an exact filter: of two sets that are similar enough, the rarest fifth of the shingles of each (in one order
-by frequency) have a shingle in common, early enough in both for the rest to suffice. The many variants of one text that are
-not similar enough do not: too much of them is theirs alone.
-With signatures of 180 components, a pair of similarity 0.8 shares a bucket with a probability of 0.9999.
+those are found by an exact filter. If shares a and b of the weights of two sets are in common, their similarity is at most
+1 / (1 / a + 1 / b - 1). So, in one order by rarity, two sets that are similar enough have a shingle in common before either is
+through with a share 1 - ``threshold`` of its weight, and with u and v the weight before their first common shingle for each weight
+after it, u + v is at most 1 / threshold - 1. Variants of one text that are not similar enough do not meet: too much of them
+is theirs alone. Shingles with very many holders are split, so that no task meets more than ``HOT`` of them with the others.
 """
 
 from __future__ import annotations
@@ -35,6 +37,12 @@ THRESHOLD = 0.8
 CENTRES = 3
 #: In buckets of up to so many members, what is left is compared pair by pair; in larger ones, by rare shingles in common.
 SMALL_BUCKET = 32
+#: Holders of a rare shingle that are met with all others in one task.
+HOT = 256
+#: Pairs whose sets are compared at once.
+PAIRS = 1000
+#: Room for rounding in bounds.
+ROOM = 1e-9
 #: Texts are hashed in buffers of about so many bytes; texts with fewer distinct shingles are signed together.
 BUFFER, FEW = 1 << 19, 256
 
@@ -61,136 +69,198 @@ def _only(texts: np.ndarray, sets: tuple[np.ndarray, np.ndarray, np.ndarray], at
     return texts + at, new[text[keep]], value[keep], count[keep]
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For each document: id, class (16 bytes, the same for the same shingles), n, shingles (32 bits of each), bands."""
-    schema = "id long, class binary, n int, shingles array<int>, bands array<long>"
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+def _buffers(texts: pa.Array) -> Iterator[tuple[int, list[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Runs of about ``BUFFER`` bytes of lower-case texts, with where each begins, and their shingle sets."""
+    at = 0
+    while at < len(texts):
+        some, size = [], 0
+        while at + len(some) < len(texts) and size < BUFFER:
+            some.append((texts[at + len(some)].as_py() or "").lower().encode())
+            size += len(some[-1])
+        yield at, some, shingles.shingle_sets(some)
+        at += len(some)
+
+
+def sketches(laid: DataFrame) -> DataFrame:
+    """For each (row, text): row, class (16 bytes, the same for the same weighted shingles), n and mass (number and weight of its
+    shingles), bands."""
+    schema = pa.schema([("row", pa.int64()), ("class", pa.binary()), ("n", pa.int32()), ("mass", pa.float64()), ("bands", pa.list_(pa.int64()))])
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, n_rows = batch.column(1), batch.num_rows
-        classes, sizes, held = [], [], []
+        n_rows = batch.num_rows
+        classes, sizes, masses = [], [np.zeros(0, int)], [np.zeros(0)]
         bands = np.zeros((n_rows, BANDS), np.int64)
         small: list = []
-        at = 0
-        while at < n_rows:
-            some, size = [], 0
-            while at + len(some) < n_rows and size < BUFFER:
-                some.append((texts[at + len(some)].as_py() or "").lower().encode())
-                size += len(some[-1])
-            sets = shingles.shingle_sets(some)
+        for at, some, sets in _buffers(batch.column("text")):
             ends = np.searchsorted(sets[0], np.arange(len(some)), side="right")
             n = np.diff(np.concatenate([[0], ends]))
-            classes += [xxhash.xxh128_digest(sets[1][e - k : e].tobytes()) for e, k in zip(ends, n, strict=True)]
+            classes += [xxhash.xxh128_digest(sets[1][e - k : e].tobytes() + sets[2][e - k : e].astype("<i8").tobytes()) for e, k in zip(ends, n, strict=True)]
             sizes.append(n)
-            held.append((sets[1] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            masses.append(np.bincount(sets[0], 1 + np.log(sets[2]), len(some)))
             if (large := np.flatnonzero(n >= FEW)).size:
                 rows, keys = _signed([_only(large, sets, at)])
                 bands[rows] = keys
             if (few := np.flatnonzero(n < FEW)).size:
                 small.append(_only(few, sets, at))
-            at += len(some)
         if small:
             rows, keys = _signed(small)
             bands[rows] = keys
-        n = np.concatenate(sizes) if sizes else np.zeros(0, int)
-        every = np.concatenate(held) if held else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(every))
         keys = pa.ListArray.from_arrays(pa.array(np.arange(n_rows + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, kinds[1]), pa.array(n.astype(np.int32)), lists, keys], names=["id", "class", "n", "shingles", "bands"])
+        columns = [batch.column("row"), pa.array(classes, pa.binary()), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(masses)), keys]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 yield of_batch(batch.slice(i, 4096))
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sketched, schema)
+    return laid.mapInArrow(sketched, "row long, class binary, n int, mass double, bands array<long>")
+
+
+def weighted_sets(laid: DataFrame) -> DataFrame:
+    """For each (row, text): row as node, all its distinct shingles (64-bit hashes, in order) and their counts."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, some, (text, value, count) in _buffers(batch.column("text")):
+                cuts = pa.array(np.searchsorted(text, np.arange(len(some) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (value.view(np.int64), count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(some)), *lists], names=["node", "shingles", "counts"])
+
+    return laid.mapInArrow(of_batches, "node long, shingles array<long>, counts array<int>")
 
 
-def _alike(n: Column, m: Column, threshold: float) -> Column:
-    """Whether sets of these sizes can be similar enough."""
-    return F.least(n, m) >= threshold * F.greatest(n, m)
+def probability_jaccard(pair: np.ndarray, value: np.ndarray, x: np.ndarray, y: np.ndarray, n_pairs: int) -> np.ndarray:
+    """The similarity of each pair of weighted sets: x and y are the weights of ``value`` in the two sets of ``pair`` (0: not in it;
+    a value may come once for each set). The sum over common i of 1 / sum_j max(x_j / x_i, y_j / y_i), by sorting x / y."""
+    order = np.lexsort((value, pair))
+    pair, value, x, y = pair[order], value[order], x[order], y[order]
+    first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (value[1:] != value[:-1])])) if len(pair) else np.zeros(0, int)
+    pair, x, y = pair[first], np.add.reduceat(x, first) if len(first) else x, np.add.reduceat(y, first) if len(first) else y
+    with np.errstate(divide="ignore"):
+        ratio = x / y
+    order = np.lexsort((ratio, pair))
+    pair, x, y, ratio = pair[order], x[order], y[order], ratio[order]
+    starts = np.searchsorted(pair, np.arange(n_pairs + 1))
+    sums = [np.concatenate([[0], np.cumsum(w)]) for w in (x, y)]
+    after = sums[0][starts[pair + 1]] - sums[0][:-1]  # x from here on
+    before = sums[1][:-1] - sums[1][starts[pair]]  # y before
+    both = (x > 0) & (y > 0)
+    return np.bincount(pair[both], x[both] / (after[both] + ratio[both] * before[both]), n_pairs)
+
+
+def _alike(threshold: float, other: str) -> Column:
+    """Whether sets of these numbers and weights of shingles can be similar enough: what is not in common weighs at least 1 each."""
+    n, m, x, y = F.col("n"), F.col(f"{other}n"), F.col("mass"), F.col(f"{other}mass")
+    return (m >= n - (1 - threshold) * x - ROOM) & (n >= m - (1 - threshold) * y - ROOM)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough."""
-    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set")) for x in ("a", "b"))
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    total = F.size(F.array_distinct("a_set")) + F.size(F.array_distinct("b_set"))
-    return pairs.join(a, "a").join(b, "b").filter(common >= threshold * (total - common)).select("a", "b")
+    """The pairs (a, b) whose weighted shingle sets are similar enough."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set"), F.col("counts").alias(f"{x}_count")) for x in ("a", "b"))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(i, PAIRS)
+                columns = []
+                for side in ("a", "b"):
+                    held, counts = part.column(f"{side}_set"), part.column(f"{side}_count")
+                    of = np.repeat(np.arange(part.num_rows), held.value_lengths().to_numpy())
+                    columns.append((of, held.flatten().to_numpy(), 1 + np.log(counts.flatten().to_numpy())))
+                (p, v, x), (q, w, y) = columns
+                found = probability_jaccard(np.concatenate([p, q]), np.concatenate([v, w]), np.concatenate([x, 0 * y]), np.concatenate([0 * x, y]), part.num_rows)
+                yield part.select(["a", "b"]).filter(pa.array(found >= threshold - ROOM))
+
+    return pairs.join(a, "a").join(b, "b").mapInArrow(compared, "a long, b long")
 
 
 def _across(rows: DataFrame, key: str, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes that share the key, are in different groups and may be similar enough: by their sizes, and by
-    how much of each set comes after ``place`` in its order, if the key is the first shingle they have in common."""
-    other = rows.select(key, *[F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "place")])
-    most = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    needed = F.ceil((F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9)
-    met = rows.join(other, key).filter((F.col("label") < F.col("label2")) & _alike(F.col("n"), F.col("n2"), threshold) & (most >= needed))
-    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    """The pairs (a, b) of nodes that share the key, are in different groups and may be similar enough: by their sizes, and by ``u``, the
+    weight before the key for each weight after it, if it is the first shingle they have in common. One of the two is then in the
+    lower half of what u may be; these, of one of the ``parts`` of the key, meet all others."""
+    most = 1 / threshold - 1 + ROOM
+    light = rows.filter(F.col("u") <= most / 2).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts")
+    other = rows.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "mass", "label", "u")])
+    before = (F.col("u") < F.col("o_u")) | ((F.col("u") == F.col("o_u")) & (F.col("node") < F.col("o_node")))
+    met = light.join(other, [key, "part"]).filter(before & (F.col("label") != F.col("o_label")) & (F.col("u") + F.col("o_u") <= most) & _alike(threshold, "o_"))
+    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
 
 
 def _prefixes(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The nodes with each of their rarest shingles, and its ``place`` among them from 0: as many that sets similar enough have
-    one of them in common. Shingles that only one node holds only move the places of the others."""
-    held = nodes.join(sets, "node").select("node", "label", F.array_distinct("shingles").alias("set"))
-    each = held.select("node", "label", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    """The nodes with each of their rarest shingles, up to a share 1 - ``threshold`` of their weight, and its ``u``. Shingles that
+    only one node holds only move the others on."""
+    each = nodes.join(sets, "node").select("node", "label", "n", "mass", F.explode(F.arrays_zip("shingles", "counts")).alias("s"))
+    each = each.select("node", "label", "n", "mass", F.col("s.shingles").alias("shingle"), (1 + F.log(F.col("s.counts"))).alias("w"))
     common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"))
-    place = F.row_number().over(W.partitionBy("node").orderBy("holders", "shingle")) - 1
-    ranked = each.join(common, "shingle").withColumn("place", place)
-    return ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)) & (F.col("holders") > 1)).select("shingle", "node", "n", "label", "place")
+    earlier = W.partitionBy("node").orderBy("holders", "shingle").rowsBetween(W.unboundedPreceding, -1)
+    ranked = each.join(common, "shingle").withColumn("before", F.coalesce(F.sum("w").over(earlier), F.lit(0.0)))
+    ranked = ranked.filter((F.col("before") <= (1 - threshold) * F.col("mass") + ROOM) & (F.col("holders") > 1))
+    return ranked.select("shingle", "node", "n", "mass", "label", (F.col("before") / (F.col("mass") - F.col("before"))).alias("u"), F.ceil(F.col("holders") / HOT).alias("parts"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``docs``: ``id_col``, class_id and group_id.
-
-    ``class_id`` is the least id among the documents with the same set of shingles, ``group_id`` the least id in the
-    connected component of links. Words are runs without ASCII white space, in lower case; a text of fewer than five words has
-    one shingle of all of them. Null texts count as empty, and empty texts are one class; a null id counts as the least.
-    Repeated rows are in one class. An empty table gives none.
-    """
-    scratch, wide = (Scratch(docs.sparkSession, name) for name in ("near-dedup", "sketches"))
-    sketch = wide.write(sketches(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    classes = sketch.groupBy("class").agg(F.min(F.struct("id", "row")).alias("least"))
+def _grouped(laid: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """``row``, ``class_id``, ``group_id`` and ``keep`` (the row of the group's least id) for each (row, id, text) of a written table."""
+    wide = Scratch(laid.sparkSession, "sketches")
+    sketch = wide.write(sketches(laid.select("row", "text")), "sketches")
+    of = scratch.write(sketch.select("row", "class").join(laid.select("row", "id"), "row"), "ids")
+    classes = of.groupBy("class").agg(F.min(F.struct("id", "row")).alias("least"))
     classes = scratch.write(classes.select("class", F.col("least.id").alias("class_id"), F.col("least.row").alias("node")), "classes")
     nodes = sketch.join(classes.select("node"), F.col("row") == F.col("node"))
-    in_bands = wide.write(nodes.select("node", "n", F.explode("bands").alias("key")), "bands")
-    drawn = [F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i), "key")).alias(f"c{i}") for i in range(CENTRES)]
+    in_bands = wide.write(nodes.select("node", "n", "mass", F.explode("bands").alias("key")), "bands")
+    drawn = [F.min_by(F.struct("node", "n", "mass"), F.xxhash64("node", F.lit(i), "key")).alias(f"c{i}") for i in range(CENTRES)]
     buckets = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *drawn).filter("members > 1")
     buckets = buckets.select("key", "members", F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("centres"))
     met = scratch.write(in_bands.join(buckets, "key"), "buckets")
-    sets = sketch.select(F.col("row").alias("node"), "shingles").join(met.select("node").distinct(), "node", "left_semi")
-    sets = scratch.write(sets, "sets")  # of the nodes that share a bucket: all that is compared from here on
-    who = scratch.write(sketch.select("id", "class"), "ids")
+    shared = met.select(F.col("node").alias("row")).distinct()
+    sets = scratch.write(weighted_sets(laid.select("row", "text").join(shared, "row", "left_semi")), "sets")  # of the nodes that share a bucket
     wide.drop()
-    pairs = met.select("node", "n", F.explode("centres").alias("c")).filter((F.col("node") != F.col("c.node")) & _alike(F.col("n"), F.col("c.n"), threshold))
-    ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    tried = scratch.write(pairs.select(*ordered("node", "c.node")).distinct(), "pairs")
+    pairs = met.select("node", "n", "mass", F.explode("centres").alias("c")).select("node", "n", "mass", F.col("c.node").alias("c_node"), F.col("c.n").alias("c_n"), F.col("c.mass").alias("c_mass"))
+    pairs = pairs.filter((F.col("node") != F.col("c_node")) & _alike(threshold, "c_"))
+    tried = scratch.write(pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct(), "pairs")
     links = scratch.write(_links(tried, sets, threshold), "links")
     labels = components(links, scratch)
 
     # What is left: pairs of a bucket in different groups, which no comparison has joined or kept apart yet.
-    in_buckets = met.select("key", "members", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    in_buckets = met.select("key", "members", "node", "n", "mass").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     divided = in_buckets.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     rest = scratch.write(in_buckets.join(divided, "key", "left_semi"), "rest")
-    small = rest.filter(F.col("members") <= SMALL_BUCKET).withColumn("place", F.lit(0))
-    large = rest.filter(F.col("members") > SMALL_BUCKET).select("node", "label").distinct()
+    small = rest.filter(F.col("members") <= SMALL_BUCKET).withColumns({"u": F.lit(0.0), "parts": F.lit(1).cast("long")})
+    large = rest.filter(F.col("members") > SMALL_BUCKET).select("node", "n", "mass", "label").distinct()
     late = _across(small, "key", threshold).union(_across(_prefixes(large, sets, threshold), "shingle", threshold))
     late = scratch.write(_links(late.distinct().join(tried, ["a", "b"], "left_anti"), sets, threshold), "links")
     if not late.isEmpty():
         labels = components(links.union(late), scratch)
 
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = named.groupBy("label").agg(F.min(F.struct("class_id"))["class_id"].alias("group_id"))
-    named = named.join(ids, "label").select("class", "class_id", "group_id")
-    found = who.select(F.col("id").alias(id_col), "class").join(named, "class").select(id_col, "class_id", "group_id")
+    least = named.groupBy("label").agg(F.min(F.struct("class_id", "node")).alias("least"))
+    named = named.join(least, "label").select("class", "class_id", F.col("least.class_id").alias("group_id"), F.col("least.node").alias("keep"))
+    return of.join(named, "class").select("row", "id", "class_id", "group_id", "keep")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each row of ``docs``: ``id_col``, class_id and group_id.
+
+    ``class_id`` is the least id among the documents with the same shingles, as often; ``group_id`` the least id in the
+    connected component of links. Words are runs without ASCII white space, in lower case; a text of fewer than five words has
+    one shingle of all of them. Null texts count as empty, and empty texts are one class; a null id counts as the least.
+    Repeated rows are in one class. Whole texts of any length are compared. An empty table gives none.
+    """
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    laid = scratch.write(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row")), "texts")
+    found = _grouped(laid, scratch, threshold).select(F.col("id").alias(id_col), "class_id", "group_id")
     found = materialise(found, "near-groups")
     scratch.drop()
     return found
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group, with all their columns. Rows with the same id stay or go
-    together: they go if any of them is in a group with a lesser id."""
-    groups = near_groups(docs, id_col, text_col, threshold)
-    gone = groups.filter(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of ``docs`` for each group, with all its columns: that of the least id (null first), and one of these if there are
+    several. It is rows that stay or go, so texts of different groups stay also where they share an id."""
+    whole = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.monotonically_increasing_id().alias("row")), "near-dedup-rows")
+    field = F.col("whole").getField
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    groups = _grouped(whole.select("row", field(id_col).cast("long").alias("id"), field(text_col).alias("text")), scratch, threshold)
+    kept = materialise(groups.select("keep").distinct(), "near-dedup-kept")
+    scratch.drop()
+    return whole.join(kept, F.col("row") == F.col("keep"), "left_semi").select(*[field(c).alias(c) for c in docs.columns])

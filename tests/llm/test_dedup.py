@@ -1,8 +1,10 @@
 """Exact and near duplicates against brute force."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,8 +80,16 @@ def test_texts_with_very_many_copies_are_cut_by_need(spark):
 
 
 def sets(text):
+    """The weights of a text's shingles, as a set of pairs that tells classes apart."""
     w = (text or "").lower().split()
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    return frozenset(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))).items())
+
+
+def similarity(a, b):
+    """The probability Jaccard similarity, term by term."""
+    x, y = ({k: 1 + math.log(n) for k, n in s} for s in (a, b))
+    every, both = {*x, *y}, [k for k in x if k in y]
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in every) for i in both)
 
 
 def brute_groups(rows):
@@ -95,7 +105,7 @@ def brute_groups(rows):
 
     for k, (a, i) in enumerate(nodes):
         for b, j in nodes[:k]:
-            if len(a & b) >= 0.8 * len(a | b):
+            if len(dict(a).keys() & dict(b).keys()) >= 0.6 * min(len(a), len(b)) and similarity(a, b) >= 0.8 - 1e-9:
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
     return {i: (classes[sets(t)], root(classes[sets(t)])) for i, t in rows}
@@ -117,16 +127,21 @@ def near_fixture():
     for _ in range(60):
         rows.append((n, passage + " " + " ".join(word() for _ in range(80))))
         n += 1
+    for k in range(30):  # texts that repeat lines of their own, some of them often
+        text = [word() for _ in range(100)]
+        for again in (0, 1, 2, 20, 300)[: 2 + k % 4]:
+            rows.append((n, " ".join(text + text[10 : 10 + k] * again)))
+            n += 1
     return [*rows, (n, None), (n + 1, ""), (n + 2, "few words"), (n + 3, "few  words"), (n + 4, "word " * 5000)]
 
 
-def test_near_groups_like_brute_force(spark):
+def test_near_groups_like_brute_force(spark, monkeypatch):
     rows = near_fixture()
     want = brute_groups(rows)
-    for small in (near_dedup.SMALL_BUCKET, 1):  # also with every bucket large
-        near_dedup.SMALL_BUCKET, before = small, near_dedup.SMALL_BUCKET
+    for small, hot in ((near_dedup.SMALL_BUCKET, near_dedup.HOT), (1, 3)):  # also with every bucket large, and its shingles split
+        monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
+        monkeypatch.setattr(near_dedup, "HOT", hot)
         found = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-        near_dedup.SMALL_BUCKET = before
         assert {r["doc_id"]: (r["class_id"], r["group_id"]) for r in found} == want
 
 
@@ -176,6 +191,42 @@ def test_null_ids_come_first(spark):
     assert {(r["doc_id"], r["class_id"], r["group_id"]) for r in found} == {(None, None, None), (3, None, None), (4, 4, 4)}
 
 
+def test_probability_jaccard_like_its_sum():
+    rng = random.Random(4)
+    weighted = [frozenset({rng.randrange(12): rng.choice([1, 1, 2, 50]) for _ in range(rng.randint(1, 10))}.items()) for _ in range(80)]
+    pairs = [(a, b) for a in weighted[:40] for b in weighted[40:]]
+    flat = [(p, k, 1 + math.log(n) if side == 0 else 0, 1 + math.log(n) if side else 0) for p, pair in enumerate(pairs) for side in (0, 1) for k, n in pair[side]]
+    rng.shuffle(flat)
+    found = near_dedup.probability_jaccard(*(np.array(c) for c in zip(*flat)), len(pairs))
+    assert np.allclose(found, [similarity(a, b) for a, b in pairs])
+
+
+def test_recall_at_the_threshold_on_repetitive_texts():
+    """Pairs whose second text repeats passages very often, of a similarity just over the threshold, share a bucket."""
+    rng = random.Random(6)
+    texts, wanted = [], []
+    for k in range(4000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 160))]
+        other = words + [f"v{rng.randrange(10**6)}" for _ in range(rng.randint(0, 12))] + words[20 : 20 + rng.randint(0, 6)] * rng.choice([1, 30, 1000])
+        a, b = " ".join(words), " ".join(other)
+        if len(wanted) < 60 and 0.8 <= similarity(sets(a), sets(b)) < 0.86:
+            wanted.append(len(texts))
+            texts += [a.encode(), b.encode()]
+        if len(wanted) == 60:
+            break
+    text, value, count = shingles.shingle_sets(texts)
+    _, bands = near_dedup._signed([(np.arange(len(texts)), text, value, count)])
+    assert len(wanted) == 60 and np.mean([(bands[k] == bands[k + 1]).any() for k in wanted]) >= 0.98
+
+
+def test_near_dedup_decides_by_row(spark):
+    """Null ids and shared ids: one row of each group stays, whatever its id."""
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(None, one), (None, one), (3, one), (5, two), (5, "quite another text of some words"), (4, two)]
+    kept = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(None, one), (4, two), (5, "quite another text of some words")], key=repr)
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (503, 503)]
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
