@@ -1,10 +1,12 @@
 """Exact top-k inner products by pivot-table elimination.
 
-One more dimension makes the largest inner product the nearest neighbour: with M the largest norm, x becomes
-(x, sqrt(M^2 - |x|^2)) and a query q becomes (q, 0), and |q - x|^2 = |q|^2 + M^2 - 2 q.x. Every vector keeps its distances to
-``pivots`` pivots; the largest difference of a query's and a candidate's distances to one pivot bounds their distance from
-below. In each block, candidates are evaluated in the order of that bound until it exceeds the k-th best distance.
-Blocks of queries meet blocks of candidates, so nothing grows beyond a block in any task.
+The inner product of two vectors is the product of their lengths and the cosine of their angle, and angles obey the triangle
+inequality: the largest difference of a query's and a candidate's angles to one pivot bounds their angle from below, so their product
+from above. Every vector keeps its angles to ``pivots`` pivots and belongs to the cell of the nearest one; for each cell and pivot the
+least and largest angle are known, a table whose size depends on the pivots alone. A query first goes to its own cell, which gives it
+a k-th best product, then only to cells that could hold a better one (or an equal one, of a smaller id). In a cell, candidates are
+evaluated in the order of their bounds until these are below the k-th best. Candidates move once, in blocks of bounded size;
+queries come to them as a stream. Nothing is dropped unless its bound rules it out.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,9 +23,12 @@ from pyspark.sql import functions as F
 from gridfold.llm.common import materialise
 
 PIVOTS = 32
-CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 1024
-#: Bounds are compared with this much room for rounding.
-ROOM = 1e-6
+#: Rows, those of least hashed id, from which the pivots are chosen: each the farthest from those before it.
+SAMPLE = 4096
+#: Candidates of a block, about.
+BLOCK = 4096
+#: Bounds have this much room for rounding, as a share of the product of the lengths.
+ROOM = 1e-9
 
 
 def quantised(vector: Column) -> Column:
@@ -37,37 +42,56 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, finite), F.lit(False))
 
 
-def _distances(x: np.ndarray, extra: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """From each vector (with its extra dimension) to each pivot."""
-    whole = np.hstack([x, extra[:, None]])
-    squares = (whole**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * whole @ pivots.T
-    return np.sqrt(np.maximum(squares, 0))
-
-
-def _block_top(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Each query's k best candidates of a block."""
-    q, x = np.stack(queries["v"]), np.stack(rows["v"])
-    to_q, to_x = np.stack(queries["table"]), np.stack(rows["table"])
-    q_ids, ids, far = queries["id"].to_numpy(), rows["id"].to_numpy(), float(rows["most"].iloc[0])
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in range(len(q)):
-        bound = np.abs(to_x - to_q[i]).max(1)
-        order = np.argsort(bound, kind="stable")
-        order = order[ids[order] != q_ids[i]]
-        best_id, best = np.empty(0, ids.dtype), np.empty(0)
-        offset, at, step = float(q[i] @ q[i]) + far, 0, 8 * k
-        while at < len(order):
-            if len(best) == k and bound[order[at]] > math.sqrt(max(offset - 2 * best[-1], 0)) + ROOM * (1 + math.sqrt(offset)):
-                break
-            some = order[at : at + step]
-            best_id, best = np.concatenate([best_id, ids[some]]), np.concatenate([best, x[some] @ q[i]])
-            top = np.lexsort((best_id, -best))[:k]
-            best_id, best, at, step = best_id[top], best[top], at + step, step * 2
-        out.append((np.full(len(best), q_ids[i]), best_id, best))
-    if not out:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    a, b, c = map(np.concatenate, zip(*out, strict=True))
-    return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+def angles(x: np.ndarray, length: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """From each vector to each pivot (of length 1); a vector of length 0 is at a right angle to all."""
+    return np.arccos(np.clip(x @ pivots.T / np.where(length > 0, length, 1)[:, None], -1, 1))
+
+
+def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` vectors of length 1, each at the largest angle to its nearest one among those before it."""
+    length = np.sqrt((x * x).sum(1))
+    x = x[length > 0] / length[length > 0][:, None]
+    if not len(x):
+        return np.eye(1, x.shape[1])
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < n and near.min() < 1 - 1e-9:
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def block_top(q_id: int, q: np.ndarray, q_length: float, to_q: np.ndarray, floor: float, ids: np.ndarray, x: np.ndarray, lengths: np.ndarray, to_x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A query's ``k`` best candidates of a block, as ids and products, among those whose bound reaches ``floor``; and how many were
+    evaluated. Candidates come in the order of their bounds, and the search ends where these are below the k-th best."""
+    product = q_length * lengths
+    bound = product * (np.cos(np.abs(to_x - to_q).max(1)) + ROOM)
+    order = np.flatnonzero((bound >= floor) & (ids != q_id))
+    order = order[np.argsort(-bound[order], kind="stable")]
+    best_id, best, at, step = np.empty(0, ids.dtype), np.empty(0), 0, 8 * k
+    while at < len(order) and not (len(best) == k and bound[order[at]] < best[-1]):
+        some = order[at : at + step]
+        best_id, best = np.concatenate([best_id, ids[some]]), np.concatenate([best, x[some] @ q])
+        top = np.lexsort((best_id, -best))[:k]
+        best_id, best, at, step = best_id[top], best[top], at + len(some), step * 2
+    return best_id, best, at
+
+
+def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+    """What the queries found in each block: query_id, vec_id, score (double), and in ``evaluated``, on one row of each query and block,
+    how many candidates were evaluated there. The best ``k`` of each query are among them."""
+    spark = vectors.sparkSession
+    v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
+    clean = vectors.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    clean = materialise(clean.filter(usable(F.col("v"))).withColumn("n_dim", F.size("v")), "pivot-search")
+    found = spark.createDataFrame([], "query_id long, vec_id long, score double, evaluated long")
+    for d in clean.groupBy("n_dim").agg(F.max("asks").alias("asked")).collect():  # one row for each length of vectors
+        if d["asked"]:
+            found = found.union(_of_length(clean.filter(F.col("n_dim") == d["n_dim"]).drop("n_dim"), k, pivots))
+    return found
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
@@ -77,48 +101,91 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     null, empty, or hold null or non-finite components take no part; vectors of different lengths do not meet.
     Repeated ids are each other's own row and do not meet either. An empty table gives none.
     """
-    spark = vectors.sparkSession
-    v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
-    clean = vectors.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    clean = materialise(clean.withColumns({"n_dim": F.size("v"), "square": F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)}), "pivot-search")
-    found = []
-    for d in clean.groupBy("n_dim").agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("most"), F.sum(F.col("asks").cast("long")).alias("q")).collect():  # one row for each length
-        if d["q"]:
-            found.append(_of_length(clean.filter(F.col("n_dim") == d["n_dim"]), d["n"], d["q"], d["most"], k, pivots))
-    none = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    for x in found:
-        none = none.union(x)
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return none.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
+    found = search(vectors, is_query, k, id_col, vector_col, pivots).withColumn("rank", place).filter(F.col("rank") <= k)
+    return found.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
 
 
-def _of_length(rows: DataFrame, n: int, n_queries: int, most: float, k: int, pivots: int) -> DataFrame:
-    n_blocks, n_query_blocks = -(-n // CANDIDATE_BLOCK), -(-n_queries // QUERY_BLOCK)
-    chosen = rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(pivots).collect()  # `pivots` rows
-    points = np.array([[*r["v"], math.sqrt(max(most - r["square"], 0))] for r in chosen])
+def _of_length(rows: DataFrame, k: int, n_pivots: int) -> DataFrame:
+    sample = rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(SAMPLE).select("v").toArrow()  # at most SAMPLE rows
+    points = farthest_first(_matrix(sample.column("v").combine_chunks()), n_pivots)
 
-    def table(batches: Iterator[pd.DataFrame], asks: bool) -> Iterator[pd.DataFrame]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                x = np.stack(b["v"])
-                extra = np.zeros(len(x)) if asks else np.sqrt(np.maximum(most - b["square"].to_numpy(), 0))
-                yield pd.DataFrame({"id": b["id"], "v": list(x), "table": list(_distances(x, extra, points)), "most": most})
-
-    kind = "id long, v array<double>, table array<double>, most double"
-    slim = rows.select("id", "v", "square")
-    candidates = slim.mapInPandas(lambda it: table(it, False), kind)
-    queries = rows.filter("asks").select("id", "v", "square").mapInPandas(lambda it: table(it, True), kind)
-    spread = lambda df, own, own_n, other, other_n: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(own_n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long"))))
-    candidates = spread(candidates, "c_block", n_blocks, "q_block", n_query_blocks)
-    queries = spread(queries, "q_block", n_query_blocks, "c_block", n_blocks)
-
-    def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _block_top(q, x, k)
-
-    both = queries.groupBy("q_block", "c_block").cogroup(candidates.groupBy("q_block", "c_block"))
-    return both.applyInPandas(meet, "query_id long, vec_id long, score double")
+            if b.num_rows:
+                x = _matrix(b.column("v"))
+                length = np.sqrt((x * x).sum(1))
+                to = angles(x, length, points)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(points)), pa.array(to.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(length), lists, pa.array(to.argmin(1).astype(np.int32))], names=[*b.schema.names, "length", "angles", "cell"])
+
+    table = materialise(rows.mapInArrow(described, "id long, v array<double>, asks boolean, length double, angles array<double>, cell int"), "pivot-table")
+    edges = [f(F.col("angles")[i]).alias(f"{name}{i}") for f, name in ((F.min, "low"), (F.max, "high")) for i in range(len(points))]
+    cells = table.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("short"), F.max("length").alias("long"), *edges).orderBy("cell").collect()  # one row for each pivot
+    cell = np.array([c["cell"] for c in cells])
+    low, high = (np.array([[c[f"{name}{i}"] for i in range(len(points))] for c in cells]) for name in ("low", "high"))
+    short, long = (np.array([c[name] for c in cells]) for name in ("short", "long"))
+    parts = np.array([-(-c["n"] // BLOCK) for c in cells])
+    n_parts = F.element_at(F.create_map(*[F.lit(x) for c, n in zip(cell.tolist(), parts.tolist(), strict=True) for x in (c, n)]), F.col("cell"))
+    candidates = table.select("cell", F.pmod(F.xxhash64("id"), n_parts).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "v", "length", "angles", F.lit(0.0).alias("floor"))
+    asking, columns, schema = table.filter("asks"), candidates.columns, candidates.schema
+    floorless = F.lit(float("-inf"))
+
+    def sent(first: bool):
+        """The queries with each block they go to: those of their own cell, or those of all others that may hold something better."""
+
+        def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own, length, to = b.column("cell").to_numpy(), b.column("length").to_numpy(), _matrix(b.column("angles")) if b.num_rows else None
+                least, at, where = b.column("floor").to_numpy(), [], []
+                for i in range(b.num_rows):
+                    apart = np.maximum(low - to[i], to[i] - high).max(1)
+                    cosine = np.cos(np.clip(apart, 0, np.pi))
+                    bound = length[i] * (np.where(cosine >= 0, long, short) * cosine + ROOM * long)
+                    for c in np.flatnonzero(cell == own[i] if first else (cell != own[i]) & (bound >= least[i])):
+                        at += [i] * int(parts[c])
+                        where += [(int(cell[c]), part) for part in range(int(parts[c]))]
+                for begin in range(0, len(at), 4096):  # a query may go to very many blocks
+                    some, to_some = pa.array(at[begin : begin + 4096], pa.int64()), where[begin : begin + 4096]
+                    out = [pa.array([c for c, _ in to_some], pa.int32()), pa.array([p for _, p in to_some], pa.int32()), pa.array([True] * len(to_some))]
+                    yield pa.RecordBatch.from_arrays([*out, *(b.column(x).take(some) for x in ("id", "v", "length", "angles", "floor"))], names=columns)
+
+        return to_blocks
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's candidates come first and are held; its queries follow."""
+        block, held = None, []
+        for b in batches:
+            where = list(zip(b.column("cell").to_pylist(), b.column("part").to_pylist(), b.column("asks").to_pylist(), strict=True))
+            cuts = [i for i in range(len(where)) if i == 0 or where[i] != where[i - 1]]
+            for begin, end in zip(cuts, [*cuts[1:], len(where)], strict=True):
+                part = b.slice(begin, end - begin)
+                ids, length = part.column("id").to_numpy(), part.column("length").to_numpy()
+                x, to = _matrix(part.column("v")), _matrix(part.column("angles"))
+                if where[begin][:2] != block:
+                    block, held = where[begin][:2], []
+                if not where[begin][2]:
+                    held.append((ids, x, length, to))
+                    continue
+                if len(held) > 1:
+                    held = [tuple(np.concatenate(z) for z in zip(*held, strict=True))]
+                floor, out = part.column("floor").to_numpy(), []
+                for i in range(len(ids) if held else 0):
+                    got, score, seen = block_top(int(ids[i]), x[i], length[i], to[i], floor[i], *held[0], k)
+                    out.append((np.full(len(got), ids[i]), got, score, np.where(np.arange(len(got)) == 0, seen, 0)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out, strict=True)], names=["query_id", "vec_id", "score", "evaluated"])
+
+    def together(queries: DataFrame, first: bool) -> DataFrame:
+        moved = queries.select("id", "v", "length", "angles", "cell", "floor").mapInArrow(sent(first), schema)
+        both = candidates.union(moved).repartition("cell", "part").sortWithinPartitions("cell", "part", "asks")
+        return both.mapInArrow(meet, "query_id long, vec_id long, score double, evaluated long")
+
+    near = materialise(together(asking.withColumn("floor", floorless), True), "pivot-near")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    floors = near.withColumn("rank", place).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    known = asking.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", floorless))
+    return near.union(together(known, False))
 
 
 OP4_SQL = """

@@ -38,6 +38,38 @@ def test_search_like_brute_force(spark):
     assert len(two) == 2
 
 
+def test_pivots_rule_out_other_clusters(spark):
+    """On vectors in clusters most candidates are never evaluated, and what is found is what brute force finds; also with blocks of few
+    candidates, and where a third of all vectors are one."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 24)) * 40
+    x = np.floor(centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 24)) * 4)
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    pivot_search.BLOCK, before = 100, pivot_search.BLOCK
+    found = pivot_search.search(df, F.col("vec_id") % 50 == 0, 5).collect()
+    pivot_search.BLOCK = before
+    best = defaultdict(list)
+    for r in found:
+        best[r["query_id"]].append((-r["score"], r["vec_id"]))
+    for q in range(0, 3000, 50):
+        score = x @ x[q]
+        assert sorted(best[q])[:5] == sorted((-score[i], i) for i in range(3000) if i != q)[:5]
+    assert sum(r["evaluated"] for r in found) < 0.5 * 60 * 2999
+
+
+def test_bounds_are_never_below_the_product():
+    rng = np.random.default_rng(9)
+    x, q = rng.normal(size=(500, 7)), rng.normal(size=7)
+    x[::50], length = 0, None
+    length = np.sqrt((x * x).sum(1))
+    points = pivot_search.farthest_first(x, 10)
+    to_x, to_q = pivot_search.angles(x, length, points), pivot_search.angles(q[None], np.array([np.sqrt(q @ q)]), points)[0]
+    ids, score, seen = pivot_search.block_top(-1, q, np.sqrt(q @ q), to_q, -np.inf, np.arange(500), x, length, to_x, 5)
+    want = np.lexsort((np.arange(500), -(x @ q)))[:5]
+    assert ids.tolist() == want.tolist() and seen <= 500 and len(points) == 10
+
+
 # Mixing -------------------------------------------------------------------------------------------------------------
 
 
