@@ -10,10 +10,10 @@ signatures of 180 components, a pair of similarity 0.8 shares a bucket with a pr
 A bucket is not expanded into its pairs. First each of its members is compared with a few of them drawn at random; then
 only members of a bucket that are still in different groups are compared, as only these can change a group. In a large bucket,
 those are found by an exact filter. If shares a and b of the weights of two sets are in common, their similarity is at most
-1 / (1 / a + 1 / b - 1). So, in one order by rarity, two sets that are similar enough have a shingle in common before either is
-through with a share 1 - ``threshold`` of its weight, and with u and v the weight before their first common shingle for each weight
-after it, u + v is at most 1 / threshold - 1. Variants of one text that are not similar enough do not meet: too much of them
-is theirs alone. Shingles with very many holders are split, so that no task meets more than ``HOT`` of them with the others.
+1 / (1 / a + 1 / b - 1): with the weight that is not in common for each weight that is, u and v, at most 1 / (1 + u + v). So, in
+one order by rarity, two sets that are similar enough have a shingle in common before either is through with a share 1 -
+``threshold`` of its weight, and what is before it, or is more than the other set can hold after it, gives u and v. Variants of
+one text that are not similar enough do not meet: too much of them is theirs alone. Shingles with very many holders are split, so that no task meets more than ``HOT`` of them with the others.
 """
 
 from __future__ import annotations
@@ -38,9 +38,9 @@ CENTRES = 3
 #: In buckets of up to so many members, what is left is compared pair by pair; in larger ones, by rare shingles in common.
 SMALL_BUCKET = 32
 #: Holders of a rare shingle that are met with all others in one task.
-HOT = 256
-#: Pairs whose sets are compared at once.
-PAIRS = 1000
+HOT = 4096
+#: Pairs are compared in runs of about so many bytes of text.
+PAIR_BYTES = 1 << 20
 #: Room for rounding in bounds.
 ROOM = 1e-9
 #: Texts are hashed in buffers of about so many bytes; texts with fewer distinct shingles are signed together.
@@ -149,54 +149,67 @@ def probability_jaccard(pair: np.ndarray, value: np.ndarray, x: np.ndarray, y: n
     return np.bincount(pair[both], x[both] / (after[both] + ratio[both] * before[both]), n_pairs)
 
 
-def _alike(threshold: float, other: str) -> Column:
-    """Whether sets of these numbers and weights of shingles can be similar enough: what is not in common weighs at least 1 each."""
-    n, m, x, y = F.col("n"), F.col(f"{other}n"), F.col("mass"), F.col(f"{other}mass")
-    return (m >= n - (1 - threshold) * x - ROOM) & (n >= m - (1 - threshold) * y - ROOM)
+def _possible(threshold: float, other: str) -> Column:
+    """Whether two sets of these numbers (n) and weights (mass) of shingles can be similar enough, if what is before ``place``, with the
+    weight ``before``, is not in common. Each shingle weighs at least 1."""
+    common = F.least(F.col("n") - F.col("place"), F.col(f"{other}n") - F.col(f"{other}place"))
 
+    def rate(side: str) -> Column:
+        alone = F.greatest(F.col(f"{side}before"), F.col(f"{side}n") - common)
+        return F.when(alone < F.col(f"{side}mass"), alone / (F.col(f"{side}mass") - alone)).otherwise(F.lit(float("inf")))
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted shingle sets are similar enough."""
-    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set"), F.col("counts").alias(f"{x}_count")) for x in ("a", "b"))
+    return rate("") + rate(other) <= 1 / threshold - 1 + ROOM
+
+
+def _links(pairs: DataFrame, laid: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of rows whose weighted shingle sets are similar enough, from their whole texts."""
+    a, b = (laid.select(F.col("row").alias(x), F.col("text").alias(f"{x}_text")) for x in ("a", "b"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, PAIRS):
-                part = batch.slice(i, PAIRS)
-                columns = []
-                for side in ("a", "b"):
-                    held, counts = part.column(f"{side}_set"), part.column(f"{side}_count")
-                    of = np.repeat(np.arange(part.num_rows), held.value_lengths().to_numpy())
-                    columns.append((of, held.flatten().to_numpy(), 1 + np.log(counts.flatten().to_numpy())))
-                (p, v, x), (q, w, y) = columns
-                found = probability_jaccard(np.concatenate([p, q]), np.concatenate([v, w]), np.concatenate([x, 0 * y]), np.concatenate([0 * x, y]), part.num_rows)
-                yield part.select(["a", "b"]).filter(pa.array(found >= threshold - ROOM))
+            at = 0
+            while at < batch.num_rows:
+                sides, size = ([], []), 0
+                while at + len(sides[0]) < batch.num_rows and size < PAIR_BYTES:
+                    here = at + len(sides[0])
+                    for side, name in zip(sides, ("a_text", "b_text"), strict=True):
+                        side.append((batch.column(name)[here].as_py() or "").lower().encode())
+                        size += len(side[-1])
+                n = len(sides[0])
+                (p, v, x), (q, w, y) = (shingles.shingle_sets(side) for side in sides)
+                x, y = 1 + np.log(x), 1 + np.log(y)
+                found = probability_jaccard(np.concatenate([p, q]), np.concatenate([v, w]), np.concatenate([x, 0 * y]), np.concatenate([0 * x, y]), n)
+                yield batch.select(["a", "b"]).slice(at, n).filter(pa.array(found >= threshold - ROOM))
+                at += n
 
     return pairs.join(a, "a").join(b, "b").mapInArrow(compared, "a long, b long")
 
 
 def _across(rows: DataFrame, key: str, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes that share the key, are in different groups and may be similar enough: by their sizes, and by ``u``, the
-    weight before the key for each weight after it, if it is the first shingle they have in common. One of the two is then in the
-    lower half of what u may be; these, of one of the ``parts`` of the key, meet all others."""
-    most = 1 / threshold - 1 + ROOM
-    light = rows.filter(F.col("u") <= most / 2).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts")
-    other = rows.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "mass", "label", "u")])
-    before = (F.col("u") < F.col("o_u")) | ((F.col("u") == F.col("o_u")) & (F.col("node") < F.col("o_node")))
-    met = light.join(other, [key, "part"]).filter(before & (F.col("label") != F.col("o_label")) & (F.col("u") + F.col("o_u") <= most) & _alike(threshold, "o_"))
+    """The pairs (a, b) of nodes that share the key, are in different groups and may be similar enough, if the key is the first
+    shingle they have in common (``place`` and ``before``: how many shingles, of what weight, come before it). One of the two is then
+    in the lower half of what this may be; these, of one of the ``parts`` of the key, meet all others."""
+    u = F.col("before") / (F.col("mass") - F.col("before"))
+    rows = rows.withColumn("u", u)
+    light = rows.filter(F.col("u") <= (1 / threshold - 1) / 2 + ROOM).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts")
+    other = rows.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "mass", "label", "place", "before", "u")])
+    first = (F.col("u") < F.col("o_u")) | ((F.col("u") == F.col("o_u")) & (F.col("node") < F.col("o_node")))
+    met = light.join(other, (light[key] == other[key]) & (light["part"] == other["part"]) & first & (F.col("label") != F.col("o_label")) & _possible(threshold, "o_"))
     return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
 
 
-def _prefixes(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The nodes with each of their rarest shingles, up to a share 1 - ``threshold`` of their weight, and its ``u``. Shingles that
-    only one node holds only move the others on."""
+def _prefixes(nodes: DataFrame, laid: DataFrame, threshold: float) -> DataFrame:
+    """The nodes with each of their rarest shingles, up to a share 1 - ``threshold`` of their weight. Shingles that only one node holds
+    only move the others on."""
+    sets = weighted_sets(laid.select("row", "text").join(nodes.select(F.col("node").alias("row")), "row", "left_semi"))
     each = nodes.join(sets, "node").select("node", "label", "n", "mass", F.explode(F.arrays_zip("shingles", "counts")).alias("s"))
     each = each.select("node", "label", "n", "mass", F.col("s.shingles").alias("shingle"), (1 + F.log(F.col("s.counts"))).alias("w"))
     common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"))
-    earlier = W.partitionBy("node").orderBy("holders", "shingle").rowsBetween(W.unboundedPreceding, -1)
-    ranked = each.join(common, "shingle").withColumn("before", F.coalesce(F.sum("w").over(earlier), F.lit(0.0)))
+    order = W.partitionBy("node").orderBy("holders", "shingle")
+    before = F.coalesce(F.sum("w").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = each.join(common, "shingle").withColumns({"place": F.row_number().over(order) - 1, "before": before})
     ranked = ranked.filter((F.col("before") <= (1 - threshold) * F.col("mass") + ROOM) & (F.col("holders") > 1))
-    return ranked.select("shingle", "node", "n", "mass", "label", (F.col("before") / (F.col("mass") - F.col("before"))).alias("u"), F.ceil(F.col("holders") / HOT).alias("parts"))
+    return ranked.select("shingle", "node", "n", "mass", "label", "place", "before", F.ceil(F.col("holders") / HOT).alias("parts"))
 
 
 def _grouped(laid: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
@@ -211,24 +224,25 @@ def _grouped(laid: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
     drawn = [F.min_by(F.struct("node", "n", "mass"), F.xxhash64("node", F.lit(i), "key")).alias(f"c{i}") for i in range(CENTRES)]
     buckets = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *drawn).filter("members > 1")
     buckets = buckets.select("key", "members", F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("centres"))
-    met = scratch.write(in_bands.join(buckets, "key"), "buckets")
+    met = scratch.write(in_bands.join(buckets, "key").withColumns({"place": F.lit(0), "before": F.lit(0.0)}), "buckets")
     shared = met.select(F.col("node").alias("row")).distinct()
-    sets = scratch.write(weighted_sets(laid.select("row", "text").join(shared, "row", "left_semi")), "sets")  # of the nodes that share a bucket
+    held = scratch.write(laid.select("row", "text").join(shared, "row", "left_semi"), "texts")  # all that is compared from here on
     wide.drop()
-    pairs = met.select("node", "n", "mass", F.explode("centres").alias("c")).select("node", "n", "mass", F.col("c.node").alias("c_node"), F.col("c.n").alias("c_n"), F.col("c.mass").alias("c_mass"))
-    pairs = pairs.filter((F.col("node") != F.col("c_node")) & _alike(threshold, "c_"))
+    whole = {"c_place": F.lit(0), "c_before": F.lit(0.0)}
+    pairs = met.select("node", "n", "mass", "place", "before", F.explode("centres").alias("c")).select("*", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n", "mass")]).withColumns(whole)
+    pairs = pairs.filter((F.col("node") != F.col("c_node")) & _possible(threshold, "c_"))
     tried = scratch.write(pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct(), "pairs")
-    links = scratch.write(_links(tried, sets, threshold), "links")
+    links = scratch.write(_links(tried, held, threshold), "links")
     labels = components(links, scratch)
 
     # What is left: pairs of a bucket in different groups, which no comparison has joined or kept apart yet.
-    in_buckets = met.select("key", "members", "node", "n", "mass").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    in_buckets = met.select("key", "members", "node", "n", "mass", "place", "before").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     divided = in_buckets.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     rest = scratch.write(in_buckets.join(divided, "key", "left_semi"), "rest")
-    small = rest.filter(F.col("members") <= SMALL_BUCKET).withColumns({"u": F.lit(0.0), "parts": F.lit(1).cast("long")})
+    small = rest.filter(F.col("members") <= SMALL_BUCKET).withColumn("parts", F.lit(1).cast("long"))
     large = rest.filter(F.col("members") > SMALL_BUCKET).select("node", "n", "mass", "label").distinct()
-    late = _across(small, "key", threshold).union(_across(_prefixes(large, sets, threshold), "shingle", threshold))
-    late = scratch.write(_links(late.distinct().join(tried, ["a", "b"], "left_anti"), sets, threshold), "links")
+    late = _across(small, "key", threshold).union(_across(_prefixes(large, held, threshold), "shingle", threshold))
+    late = scratch.write(_links(late.distinct().join(tried, ["a", "b"], "left_anti"), held, threshold), "links")
     if not late.isEmpty():
         labels = components(links.union(late), scratch)
 
