@@ -64,7 +64,7 @@ def group_reduce(
     with a missing label, or one outside a key's domain, belong to no group. ``order`` is a column of unique whole
     numbers, which positional reductions (first, last, arg...) need. With ``dense`` (by default when a key declares a domain or
     there are several keys) every cell of the product of the domains is there, absent ones with ``fill_value`` or the
-    reduction's own. ``min_count``: groups with fewer valid values get the fill value; it is 1 by default where dims are
+    reduction's own; a product with more cells than ``OPTIONS.max_dense_cells`` raises ValueError. ``min_count``: groups with fewer valid values get the fill value; it is 1 by default where dims are
     kept or a fill value is given with a declared domain. ``q`` may be a list: one row for each, in a column ``quantile``.
     ``stable`` variances subtract the group's smallest value first, from a pass before. Results come in no order unless
     ``sort`` is True (by key) or "appearance" (needs ``order``).
@@ -107,10 +107,8 @@ def group_reduce(
         kinds = {o: found.schema[o].dataType for o in outs}
         found = found.withColumns({o: F.when(F.col("_n") >= least, F.col(o)).otherwise(constant(absents[o], kinds[o], q)) for o in outs})
     if dense is True or (dense == "auto" and ks and (declared or len(ks) > 1)):
-        grid = cells(ks, df, work, dims, dense is True)
-        if grid is not None:
-            extra = {"_first": None} if sort == "appearance" else {}
-            found = densify(found, grid, by, absents | extra, q)
+        extra = {"_first": None} if sort == "appearance" else {}
+        found = densify(found, cells(ks, df, work, dims), by, absents | extra, q)
     if sort == "appearance":
         found = found.orderBy(F.col("_first").asc_nulls_last(), *by)
     elif sort:

@@ -8,15 +8,12 @@ from dataclasses import dataclass, fields
 
 @dataclass
 class Options:
-    #: Dense results have at most so many cells; beyond, ``dense="auto"`` leaves them sparse.
+    #: Dense results have at most so many cells; beyond, they are refused.
     max_dense_cells: int = 10_000_000
     #: Discovered labels of a key that reach the driver to make a dense domain.
     max_domain: int = 100_000
     #: Domains up to so many labels are broadcast.
     broadcast_domain: int = 50_000
-    #: Relative growth in partitions, and in their size, up to which blockwise layouts are made without being asked for.
-    blockwise_partitions: float = 0.25
-    blockwise_size: float = 1.5
 
 
 OPTIONS = Options()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from math import prod
+from typing import NoReturn
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +24,9 @@ def domain_of(key: Key, at: int, source: DataFrame, work: DataFrame) -> DataFram
     return declared if declared is not None else work.select(F.col(f"_k{at}").alias("label")).distinct()
 
 
-def cells(keys: Sequence[Key], source: DataFrame, work: DataFrame, dims: Sequence[str], must: bool) -> DataFrame | None:
-    """A row for each cell, with columns ``_k0`` ... and those of ``dims``; None where there would be too many and they need
-    not be there (ValueError if they must)."""
+def cells(keys: Sequence[Key], source: DataFrame, work: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """A row for each cell, with columns ``_k0`` ... and those of ``dims``; ValueError where there would be too many, those of kept
+    dims counted too."""
     spark = source.sparkSession
     if len(keys) == 1 and not dims:
         return domain_of(keys[0], 0, source, work).select(F.col("label").alias("_k0"))
@@ -35,15 +36,18 @@ def cells(keys: Sequence[Key], source: DataFrame, work: DataFrame, dims: Sequenc
         schema = T.StructType([T.StructField(f"_c{i}", T.LongType()), T.StructField(f"_k{i}", found.schema[0].dataType)])
         labels = [r["label"] for r in found.collect()]  # at most the option
         if len(labels) > OPTIONS.max_domain:
-            return _refuse(must, f"key {key.out} has more than {OPTIONS.max_domain} labels")
+            _refuse(f"key {key.out} has more than {OPTIONS.max_domain} labels")
         tables.append((spark.createDataFrame(list(enumerate(labels)), schema), len(labels)))
     sizes = [n for _, n in tables]
     total = prod(sizes)
     if total > OPTIONS.max_dense_cells:
-        return _refuse(must, f"{total} cells")
+        _refuse(f"{total} cells")
     if not total:
         return work.select(*dims, *[f"_k{i}" for i in range(len(keys))]).limit(0)
     if dims:
+        most = OPTIONS.max_dense_cells // total
+        if work.select(*dims).distinct().limit(most + 1).count() > most:
+            _refuse(f"{total} cells for each of more than {most} places")
         numbered = work.select(*dims).distinct().withColumn("_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long"))))
     else:
         numbered = spark.range(total).select(F.col("id").alias("_cell"))
@@ -56,9 +60,8 @@ def cells(keys: Sequence[Key], source: DataFrame, work: DataFrame, dims: Sequenc
     return numbered.drop("_cell")
 
 
-def _refuse(must: bool, why: str) -> None:
-    if must:
-        raise ValueError(f"the dense result is too large: {why}; use dense=False or raise the option")
+def _refuse(why: str) -> NoReturn:
+    raise ValueError(f"the dense result is too large: {why}; use dense=False or raise the option")
 
 
 def constant(fill: object, kind: T.DataType, q: object = None) -> Column:

@@ -127,9 +127,12 @@ def test_dense_product_and_limit(spark):
     found = {(r["b"], r["c"]): r["v_count"] for r in g.group_reduce(df, "v", "b", "c", func="count").collect()}
     assert found == {("a", 0): 1, ("a", 1): 1, ("b", 0): 1, ("b", 1): 0, ("c", 0): 0, ("c", 1): 1}
     with g.set_options(max_dense_cells=5):
-        assert g.group_reduce(df, "v", "b", "c", func="count").count() == 4
-        with pytest.raises(ValueError):
-            g.group_reduce(df, "v", "b", "c", func="count", dense=True)
+        assert g.group_reduce(df, "v", "b", "c", func="count", dense=False).count() == 4
+        for dense in ("auto", True):  # never silently sparse
+            with pytest.raises(ValueError):
+                g.group_reduce(df, "v", "b", "c", func="count", dense=dense)
+    with g.set_options(max_dense_cells=11), pytest.raises(ValueError):  # 6 cells in each of 4 places
+        g.group_reduce(df, "v", "b", "c", func="count", keep_dims=["i"])
     assert g.OPTIONS.max_dense_cells > 5
 
 
