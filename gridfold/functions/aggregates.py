@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from gridfold.functions.missing import is_floating, missing, present
 
+#: Doubles hold every whole number up to here.
+EXACT = 2.0**53
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -91,7 +93,6 @@ def _quantile(m: Measure, valid: Column) -> Column:
     return F.transform(found, m.time) if isinstance(q, list | tuple) else m.time(found)
 
 
-
 def _arg_max(m: Measure) -> Column:
     return F.max_by(m.order, F.struct(missing(m.value, m.kind), m.value, -m.order))
 
@@ -109,9 +110,11 @@ def _plain_sum(m: Measure) -> Column:
 
 
 def _product(m: Measure, c: Column) -> Column:
-    """Spark's product is a double; of whole numbers it is exact up to 2^53."""
+    """Spark's product is a double. Of whole numbers it is exact up to 2^53; a larger one raises rather than lose digits."""
     found = F.product(c)
-    return found.cast("bigint") if isinstance(m.kind, INTEGERS) or isinstance(m.kind, T.BooleanType) else found
+    if isinstance(m.kind, INTEGERS) or isinstance(m.kind, T.BooleanType):
+        return F.when(F.abs(found) > EXACT, F.raise_error(F.lit("a product of whole numbers is beyond 2^53: cast the values to double"))).otherwise(found).cast("bigint")
+    return found
 
 
 NUMERIC = (T.NumericType, T.BooleanType)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.operators.reduce import group_reduce
-from gridfold.plans.keys import Key, as_key
+from gridfold.plans.keys import Bins, Key, RowBins, as_key
 
 
 class Dataset:
@@ -35,30 +34,24 @@ class Dataset:
         return Dataset(self.frame.join(labels, list(on)), self.dims, self.variables, self.lacking)
 
     def reduce(self, *keys: str | Key, func: Any, dim: str | Sequence[str] | None | type(...) = None, skipna: bool | None = None, **options: Any) -> DataFrame:
-        """Each variable reduced over ``dim`` in each group; other dimensions are kept. ``dim`` None or ... reduces all.
+        """Each variable reduced over ``dim`` in each group, all in one pass; other dimensions are kept. ``dim`` None reduces all;
+        with ``...`` so does it, but for the dimension that the one key is itself, unless that is binned.
 
         Without keys it is a plain reduction over ``dim``. Variables that lack the reduced dimension stay as they are,
         repeated for every group, in columns of their own name.
         """
-        gone = self.dims if dim is None or dim is ... else [dim] if isinstance(dim, str) else list(dim)
+        ks = [as_key(k) for k in keys]
+        if dim is ... and len(ks) > 1:
+            raise NotImplementedError("several keys need the dimensions by name")
+        own_dim = {k.column for k in ks if dim is ... and not isinstance(k, Bins | RowBins)}
+        gone = [d for d in self.dims if d not in own_dim] if dim is None or dim is ... else [dim] if isinstance(dim, str) else list(dim)
         if unknown := set(gone) - set(self.dims):
             raise ValueError(f"no such dimensions: {sorted(unknown)}")
-        kept = [d for d in self.dims if d not in gone]
-        ks = [as_key(k) for k in keys]
-        found = [group_reduce(self.frame, v, *ks, func=func, keep_dims=kept, skipna=skipna, **options) for v in self.variables]
-        heads = [c for c in found[0].columns if not any(c.startswith(f"{v}_") for v in self.variables[:1])] if found else []
-        whole = reduce(lambda a, b: _joined(a, b, heads), found)
+        kept = [d for d in self.dims if d not in gone and d not in own_dim]
+        whole = group_reduce(self.frame, self.variables, *ks, func=func, keep_dims=kept, skipna=skipna, **options)
         for name, (table, own) in self.lacking.items():
-            shared = [d for d in own if d in kept]
+            shared = [d for d in own if d in kept or d in own_dim]
             if set(own) & set(gone):
                 raise ValueError(f"{name} has a reduced dimension: put it into the table")
             whole = whole.join(table.select(*shared, name), shared, "left") if shared else whole.withColumn("_one", F.lit(1)).join(table.select(name).withColumn("_one", F.lit(1)), "_one").drop("_one")
         return whole
-
-
-def _joined(a: DataFrame, b: DataFrame, heads: list[str]) -> DataFrame:
-    if not heads:
-        return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    other = b.select(*[F.col(h).alias(f"_r_{h}") for h in heads], *[c for c in b.columns if c not in heads])
-    same = reduce(lambda x, y: x & y, [F.col(h).eqNullSafe(F.col(f"_r_{h}")) for h in heads])
-    return a.join(other, same).drop(*[f"_r_{h}" for h in heads])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,8 @@ def group_scan(df: DataFrame, value: str, *keys: str | Key, func: str | GroupSca
     """``df`` with one more column, ``<value>_<func>`` or ``name``: the scan of ``value`` in its group, in the order of ``order``.
 
     ``cumsum`` is NULL from the first missing value on, ``nancumsum`` counts missing values as 0, ``ffill`` and ``bfill`` are the
-    last valid value up to, and the first from, a row. Rows with a missing label are scanned as one group. A window holds
+    last valid value up to, and the first from, a row. Sums of timestamps, as microseconds, are timestamps again, those of intervals
+    are intervals, and those of booleans counts. Rows with a missing label are scanned as one group. A window holds
     a group in one task; with ``partitioned``, groups are cut into ranges, scanned in parallel, and joined up by what the
     ranges before hold, so a group may be larger than a task. ``order`` should tell the rows of a group apart.
     """
@@ -46,7 +48,15 @@ def group_scan(df: DataFrame, value: str, *keys: str | Key, func: str | GroupSca
     if isinstance(func, GroupScan):
         frame = scan.rowsBetween(0, W.unboundedFollowing) if func.reverse else scan.rowsBetween(W.unboundedPreceding, 0)
         return work.withColumn(out, func.expression(m, frame)).drop(*labels)
-    return work.withColumn(out, _windowed(m, scan, func)).drop(*labels)
+    return work.withColumn(out, _restored(m, _windowed(m, scan, func), func)).drop(*labels)
+
+
+def _zero(m: Measure) -> Column:
+    return F.lit(timedelta(0)) if isinstance(m.kind, T.DayTimeIntervalType) else F.lit(0)
+
+
+def _restored(m: Measure, found: Column, func: str) -> Column:
+    return m.time(found) if func in ("cumsum", "nancumsum") else found
 
 
 def _windowed(m: Measure, scan, func: str) -> Column:
@@ -56,7 +66,7 @@ def _windowed(m: Measure, scan, func: str) -> Column:
     if func == "ffill":
         return F.last(m.valid, ignorenulls=True).over(before)
     if func == "nancumsum":
-        return F.coalesce(F.sum(m.valid_number).over(before), F.lit(0))
+        return F.coalesce(F.sum(m.valid_number).over(before), _zero(m))
     return F.when(~F.max(missing(m.value, m.kind)).over(before), F.sum(m.number).over(before))
 
 
@@ -84,10 +94,10 @@ def _partitioned(work: DataFrame, m: Measure, labels: list[str], orders: list[Co
     elif func == "bfill":
         whole = F.coalesce("_own", "_head")
     elif func == "nancumsum":
-        whole = F.col("_own") + F.coalesce("_sum", F.lit(0))
+        whole = F.col("_own") + F.coalesce("_sum", _zero(m))
     else:
-        whole = F.when(~F.col("_bad"), F.col("_own") + F.coalesce("_sum", F.lit(0)))
-    return joined.withColumn(out, whole).drop("_own", "_sum", "_bad", "_last", "_head", "_part", "_of", *[f"{c}_of" for c in labels])
+        whole = F.when(~F.col("_bad"), F.col("_own") + F.coalesce("_sum", _zero(m)))
+    return joined.withColumn(out, _restored(m, whole, func)).drop("_own", "_sum", "_bad", "_last", "_head", "_part", "_of", *[f"{c}_of" for c in labels])
 
 
 def _in_pandas(work: DataFrame, value: str, labels: list[str], order: str | Sequence[str], func: PandasScan, out: str) -> DataFrame:

@@ -53,12 +53,14 @@ def containment(df: DataFrame, label: str, chunk: str, least: float = CONTAINMEN
 
 
 def merged_cohorts(df: DataFrame, label: str, chunk: str, least: float = CONTAINMENT) -> DataFrame:
-    """Cohorts with each label put to the one of most chunks that contains it: ``cohort`` (a label) and ``labels``."""
+    """Cohorts with each label put to the one of most chunks that contains it (of such, the one that holds most of its chunks,
+    then the least label): ``cohort`` (a label) and ``labels``."""
     pairs = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(chunk).alias("chunk")).distinct()
     sizes = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     into = containment(df, label, chunk, least).join(sizes.select(F.col("label").alias("within"), F.col("n").alias("n_within")), "within").join(sizes, "label")
     larger = into.filter((F.col("n_within") > F.col("n")) | (F.col("n_within") == F.col("n")) & (F.col("within") < F.col("label")))
-    best = larger.groupBy("label").agg(F.max_by("within", F.struct("n_within", F.col("containment"))).alias("cohort"))
+    first = W.partitionBy("label").orderBy(F.desc("n_within"), F.desc("containment"), "within")
+    best = larger.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select("label", F.col("within").alias("cohort"))
     told = sizes.join(best, "label", "left").select("label", F.coalesce("cohort", "label").alias("cohort"))
     top = told.select(F.col("label").alias("cohort"), F.col("cohort").alias("above"))
     told = told.join(top, "cohort", "left").select("label", F.coalesce("above", "cohort").alias("cohort"))

@@ -135,6 +135,19 @@ def reduce_nansum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.group_reduce(events(spark, sf_dir), "v", "event_type", func="nansum_of_squares", names=["result"]), "result", places=4)
 
 
+@query(f"""WITH e AS (SELECT event_type, {GAPS} AS v FROM events)
+SELECT event_type, CASE WHEN count(*) = count(v) THEN round(sum(v * v), 4) END AS v_sum_of_squares, count(*) AS v_len, count(v) AS v_nanlen FROM e GROUP BY 1""")
+def reduce_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(g.group_reduce(events(spark, sf_dir), "v", "event_type", func=["sum_of_squares", "len", "nanlen"]), "v_sum_of_squares", places=4)
+
+
+@query(f"""WITH e AS (SELECT event_type, {GAPS} AS v, user_id FROM events)
+SELECT event_type, round(avg(v), 6) AS v_nanmean, max(v) AS v_nanmax, round(avg(user_id), 6) AS user_id_nanmean, max(user_id) AS user_id_nanmax FROM e GROUP BY 1""")
+def reduce_several_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = g.group_reduce(events(spark, sf_dir), ["v", "user_id"], "event_type", func=["nanmean", "nanmax"])
+    return rounded(found, "v_nanmean", "user_id_nanmean")
+
+
 @query(f"""WITH e AS (SELECT event_type, {GAPS} AS v FROM events), q AS (SELECT event_type, unnest([0.1, 0.5, 0.99])::DOUBLE AS quantile, unnest(quantile_cont(v, [0.1, 0.5, 0.99])) AS x FROM e GROUP BY event_type)
 SELECT event_type, quantile, round(x, 6) AS result FROM q""")
 def reduce_quantile_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,6 +323,28 @@ def key_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.group_reduce(events(spark, sf_dir), "value", func=["nansum", "count", "nanvar"]), "value_nansum", "value_nanvar", places=4)
 
 
+@query("""SELECT l_returnflag, max(l_quantity) AS l_quantity_nanmax, any_value(length(l_returnflag) + 3) AS weight FROM lineitem GROUP BY 1""")
+def dataset_all_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity")
+    weights = rows.select("l_returnflag").distinct().withColumn("weight", (F.char_length("l_returnflag") + 3).cast("bigint"))
+    data = g.Dataset(rows, ["l_returnflag", "l_orderkey", "l_linenumber"], ["l_quantity"], {"weight": (weights, ["l_returnflag"])})
+    return data.reduce("l_returnflag", func="nanmax", dim=...)
+
+
+@query("SELECT n_regionkey, count(c_acctbal) AS c_acctbal_count FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def dataset_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"), "c_acctbal")
+    labels = load(spark, sf_dir, "nation").join(rows.select("n_nationkey").distinct(), "n_nationkey", "left_semi").select("n_nationkey", "n_regionkey")
+    return g.Dataset(rows, ["c_custkey", "n_nationkey"], ["c_acctbal"]).align(labels, ["n_nationkey"]).reduce("n_regionkey", func="count")
+
+
+@query("""SELECT o_orderstatus, max(o_totalprice) AS o_totalprice_nanmax, 'euro' AS unit FROM orders GROUP BY 1""")
+def reduce_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, "orders").withColumn("o_totalprice", F.col("o_totalprice").alias("o_totalprice", metadata={"unit": "euro"}))
+    found = g.group_reduce(df, "o_totalprice", "o_orderstatus", func="nanmax")
+    return found.withColumn("unit", F.lit(found.schema["o_totalprice_nanmax"].metadata["unit"]))
+
+
 # Dense results, fill values, types ------------------------------------------------------------------------------------
 
 
@@ -366,6 +401,20 @@ for _name in _SCANS:
     _scan(_name, True)
 
 
+def _scan_of_times(partitioned: bool) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = load(spark, sf_dir, "events").select("event_id", "user_id", (F.timestamp_seconds(F.unix_timestamp(F.col("ts").cast("timestamp")) % 86400)).alias("t"))
+        found = g.group_scan(df, "t", "user_id", func="nancumsum", order="event_id", name="result", partitioned=partitioned)
+        return found.select("event_id", F.unix_seconds("result").alias("result"))
+
+    sql = "SELECT event_id, (sum(epoch(ts)::BIGINT % 86400) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS result FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)"
+    query(sql, f"scan_times{'_partitioned' * partitioned}")(run)
+
+
+_scan_of_times(False)
+_scan_of_times(True)
+
+
 @query("SELECT event_id, max(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS value_cummax FROM events")
 def scan_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     cummax = g.GroupScan("cummax", lambda m, w: F.max(m.valid).over(w))
@@ -460,6 +509,13 @@ def layout_chunk_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.chunk_starts(df, "event_id", "phase", [0, 30]).select("event_id", "chunk")
 
 
+@query("""WITH c AS (SELECT event_id, sum(CASE WHEN event_id % 100 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS start FROM events)
+SELECT event_id, start::BIGINT AS start, ((row_number() OVER (PARTITION BY start ORDER BY event_id) - 1) // 40)::BIGINT AS nth FROM c""")
+def layout_chunk_starts_and_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 100).alias("phase"))
+    return layout.chunk_starts(df, "event_id", "phase", [0], every=40).select("event_id", "chunk.start", "chunk.nth")
+
+
 _COHORT = "WITH h AS (SELECT user_id, list_sort(list(DISTINCT event_id // 500)) AS chunks FROM events GROUP BY 1)"
 
 
@@ -473,6 +529,19 @@ def layout_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("labels", "chunks")])
 
 
+@query("""WITH p AS (SELECT DISTINCT o_custkey AS label, o_orderkey // 100 AS c FROM orders), z AS (SELECT label, count(*) AS n FROM p GROUP BY 1),
+m AS (SELECT a.label, b.label AS "within", count(*) / any_value(z.n) AS share FROM p a JOIN p b ON a.c = b.c AND a.label <> b.label JOIN z ON z.label = a.label GROUP BY 1, 2 HAVING count(*) / any_value(z.n) >= 0.4),
+u AS (SELECT m.label, m."within" FROM m JOIN z l ON l.label = m.label JOIN z w ON w.label = m."within" WHERE w.n > l.n OR (w.n = l.n AND m."within" < m.label)
+  QUALIFY row_number() OVER (PARTITION BY m.label ORDER BY w.n DESC, m.share DESC, m."within") = 1),
+t AS (SELECT z.label, coalesce(u."within", z.label) AS cohort FROM z LEFT JOIN u USING (label)),
+f AS (SELECT t.label, coalesce(a.cohort, t.cohort) AS cohort FROM t LEFT JOIN t a ON a.label = t.cohort)
+SELECT cohort, array_to_string(list_sort(list(label)), ',') AS labels FROM f GROUP BY 1""")
+def layout_merged_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, "orders").select("o_custkey", F.floor(F.col("o_orderkey") / 100).alias("chunk"))
+    found = layout.merged_cohorts(df, "o_custkey", "chunk", least=0.4)
+    return found.select("cohort", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
+
+
 @query("""WITH p AS (SELECT DISTINCT user_id, event_id // 500 AS c FROM events), z AS (SELECT user_id, count(*) AS n FROM p GROUP BY 1)
 SELECT a.user_id AS label, b.user_id AS "within", round(count(*) / any_value(z.n), 6) AS containment FROM p a JOIN p b ON a.c = b.c AND a.user_id <> b.user_id JOIN z ON z.user_id = a.user_id
 GROUP BY 1, 2 HAVING count(*) / any_value(z.n) >= 0.75""")

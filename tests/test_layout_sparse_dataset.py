@@ -81,3 +81,24 @@ def test_streams(spark, tmp_path):
     assert {r["b"]: (r["v_nansum"], r["v_count"]) for r in spark.table("sums").collect()} == {0: (20, 5), 1: (25, 5)}
     with pytest.raises(ValueError):
         stream_reduce(stream, "v", "b", func="median")
+
+
+def test_dataset_reduces_all_but_the_keys_own_dimension(spark):
+    df = spark.createDataFrame([(x, t, float(x * 10 + t)) for x in range(3) for t in range(4)], "x int, t int, v double")
+    weights = spark.createDataFrame([(x, x + 0.5) for x in range(3)], "x int, weight double")
+    data = g.Dataset(df, ["x", "t"], ["v"], {"weight": (weights, ["x"])})
+    found = data.reduce("x", func="nansum", dim=...)
+    assert sorted(map(tuple, found.collect())) == [(0, 6.0, 0.5), (1, 46.0, 1.5), (2, 86.0, 2.5)]
+    with pytest.raises(ValueError):
+        data.reduce("x", func="nansum")  # every dimension goes, also that of the weight
+    with pytest.raises(NotImplementedError):
+        data.reduce("x", "t", func="nansum", dim=...)
+    binned = g.Dataset(df, ["x", "t"], ["v"]).reduce(g.Bins("x", [-1, 0, 2]), func="count", dim=...)
+    assert sorted(r["v_count"] for r in binned.collect()) == [4, 8]
+
+
+def test_merged_cohorts_settle_ties_by_the_least_label(spark):
+    rows = [(3, 0), *[(k, c) for k in (1, 2) for c in (0, 1)]]
+    df = spark.createDataFrame(rows, "label int, chunk int")
+    found = [tuple(r) for r in layout.merged_cohorts(df, "label", "chunk").collect()]
+    assert found == [(1, [1, 2, 3])]

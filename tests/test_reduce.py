@@ -202,3 +202,26 @@ def test_like_numpy(spark, rows, func):
             assert found[b] == (0 if func == "nansum" else None)
         else:
             np.testing.assert_allclose(found[b], getattr(np, func.removeprefix("nan"))(valid), rtol=1e-9, atol=1e-9)
+
+
+def test_several_values_in_one_pass(spark):
+    df = spark.createDataFrame([(i, float(i) + 1e8, i % 3, i % 2) for i in range(30)], "i long, v double, w int, b int")
+    found = g.group_reduce(df, ["v", "w"], "b", func=["nanvar", "count"])
+    assert found.columns == ["b", "v_nanvar", "v_count", "w_nanvar", "w_count"]
+    for value in ("v", "w"):
+        alone = {r["b"]: r[f"{value}_nanvar"] for r in g.group_reduce(df, value, "b", func="nanvar").collect()}
+        assert {r["b"]: r[f"{value}_nanvar"] for r in found.collect()} == pytest.approx(alone)
+    plan = g.group_reduce(df, ["v", "w"], "b", func="nanmean")._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("Exchange ") == 1 and "Join" not in plan
+    spread = g.HolisticAgg("spread", lambda s: float(s.max() - s.min()))
+    assert {tuple(r) for r in g.group_reduce(df, ["v", "w"], "b", func=spread).collect()} == {(0, 28.0, 2.0), (1, 28.0, 2.0)}
+    least = g.group_reduce(df.withColumn("w", F.when(F.col("b") == 0, F.col("w"))), ["v", "w"], "b", func="nansum", min_count=1)
+    assert {r["b"]: r["w_nansum"] is None for r in least.collect()} == {0: False, 1: True}
+
+
+def test_products_beyond_doubles_raise(spark):
+    whole = spark.createDataFrame([(0, 3)] * 33, "b int, v long")
+    assert g.group_reduce(whole, "v", "b", func="prod").first()["v_prod"] == 3**33
+    with pytest.raises(Exception, match="beyond 2"):
+        g.group_reduce(whole.union(whole), "v", "b", func="prod").collect()
+    assert g.group_reduce(whole.union(whole), "v", "b", func="prod", dtype="double").first()["v_prod"] == pytest.approx(3.0**66)

@@ -38,3 +38,14 @@ def test_custom_and_bad_scans(spark):
     assert scan(df, func=g.PandasScan("n", lambda s: s.notna().cumsum().astype(float))) == [1, 1, 2, 1, 1, 2, 1, 1]
     with pytest.raises(ValueError):
         scan(df, func="cumprod")
+
+
+@pytest.mark.parametrize("partitioned", [False, True])
+def test_sums_keep_the_type_of_times(spark, partitioned):
+    df = spark.sql("SELECT * FROM VALUES (0, 1, timestamp_seconds(10), INTERVAL '2' SECOND, true), (1, 1, NULL, NULL, false), (2, 1, timestamp_seconds(5), INTERVAL '3' SECOND, true) t(i, b, t, d, y)")
+    sums = {c: g.group_scan(df, c, "b", func="nancumsum", order="i", name="out", partitioned=partitioned).orderBy("i") for c in ("t", "d", "y")}
+    assert dict(sums["t"].dtypes)["out"] == "timestamp" and [r[0] for r in sums["t"].select(F.unix_seconds("out")).collect()] == [10, 10, 15]
+    assert [r["out"].total_seconds() for r in sums["d"].collect()] == [2, 2, 5]
+    assert [r["out"] for r in sums["y"].collect()] == [1, 1, 2]
+    cut = g.group_scan(df, "t", "b", func="cumsum", order="i", name="out", partitioned=partitioned).orderBy("i").select(F.unix_seconds("out")).collect()
+    assert [r[0] for r in cut] == [10, None, None]
