@@ -44,10 +44,15 @@ FEATURES = ["marker", "opens", "length", "asks", "place", "block_lines"]
 
 
 def lines_of(transcripts: DataFrame, id_col: str, order_cols: list[str], text_col: str) -> DataFrame:
-    """The lines of all transcripts with their features. A row of ``transcripts`` begins a block, as does a line after a blank one."""
-    rows = transcripts.select(
-        F.col(id_col).alias("conv"), F.struct(*order_cols).alias("place_in"), *[c for c in ("role",) if c in transcripts.columns], F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n\\s*\n")).alias("nth", "block")
-    )
+    """The lines of all transcripts with their features. A row of ``transcripts`` begins a block, as does a line after a blank one.
+
+    A line is one however long it is. Rows that agree in ``order_cols`` go by a hash of their role and text; rows alike in these
+    too are all there, each whole, one after the other.
+    """
+    role = [c for c in ("role",) if c in transcripts.columns]
+    place = F.struct(*[F.col(c) for c in order_cols], F.xxhash64(*role, text_col).alias("_tie"))
+    rows = transcripts.select(F.col(id_col).alias("conv"), place.alias("place_in"), F.monotonically_increasing_id().alias("twin"), *role, F.col(text_col).alias("text"))
+    rows = rows.select("conv", "place_in", "twin", *role, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n\\s*\n")).alias("nth", "block"))
     split = F.split("block", "\n")
     rows = rows.select(*[c for c in rows.columns if c != "block"], F.size(split).alias("n"), F.posexplode(split).alias("at", "line"))
     marker = F.lit("none")
@@ -75,7 +80,8 @@ class Model:
 
 def ranked_lines(lines: DataFrame, name: str) -> DataFrame:
     """Lines with their rank in the conversation, by place in it; spread evenly also where a conversation is very long."""
-    laid = lines.repartitionByRange("conv", "place_in", "nth", "at").sortWithinPartitions("conv", "place_in", "nth", "at")
+    order = ["conv", "place_in", "twin", "nth", "at"]
+    laid = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     return materialise(rank_within(laid, "conv", name)[0].select(*unpacked(laid.columns), "rank"), name)
 
 
@@ -208,7 +214,8 @@ def format_chat(ranked: DataFrame, model: Model, id_col: str = "conv_id") -> Dat
     One row for each ``CHUNK`` lines of a conversation; its text is the concatenation of ``rendered`` by ``part``. A turn is
     ``<|im_start|>role``, its lines, ``<|im_end|>``; lines of one role without another between are one turn. ``n_turns`` counts
     the turns that begin in the part, ``n_agree`` its lines whose role is the given one (0 without given roles). Null texts
-    are one empty line; conversations with a null id are one; rows that agree in their place stand in any order.
+    are one empty line; conversations with a null id are one; no conversations, no rows. Rows that agree in their place are
+    ordered by ``lines_of``.
     """
     kind = ranked.schema["conv"].dataType.simpleString()
     given = F.col("role") if "role" in ranked.columns else F.lit(None).cast("string")
