@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a folder of this machine.
+    Only a session on this machine alone may be without that setting (a local test): it gets a folder of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
