@@ -136,14 +136,15 @@ def _buffers(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 
 def train(docs: DataFrame, rated: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Model:
     """A model from a bounded sample of the rated documents: at most ``SAMPLE`` of each grade (0 to ``n_grades`` - 1), those of
-    least hashed id; only their features reach the driver. Null grades are left out. Without documents of two grades the
+    least hashed id; only their features reach the driver. Null grades are left out. An id with several grades has the lowest;
+    an id with several documents gives its least text. Without documents of two grades the
     model gives all documents the same expected grade."""
     chosen = None
     for g in range(n_grades):
-        own = rated.filter(F.col(grade_col) == g).select(F.col(id_col).alias("_id"), F.lit(g).alias("_grade")).orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(SAMPLE)
+        own = rated.filter(F.col(grade_col) == g).select(F.col(id_col).alias("_id"), F.lit(g).alias("_grade")).distinct().orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(SAMPLE)
         chosen = own if chosen is None else chosen.union(own)
-    picked = F.broadcast(chosen.dropDuplicates(["_id"]))  # at most SAMPLE for each grade
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id").select("_text", "_grade")
+    picked = F.broadcast(chosen.groupBy("_id").agg(F.min("_grade").alias("_grade")))  # at most SAMPLE for each grade
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id").groupBy("_id", "_grade").agg(F.min("_text").alias("_text")).select("_text", "_grade")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +170,8 @@ def train(docs: DataFrame, rated: DataFrame, n_grades: int, id_col: str = "doc_i
 
 def score(docs: DataFrame, model: Model, tail: int, text_col: str = "text") -> DataFrame:
     """``docs`` with ``expected_grade``, ``tail_probability`` (of a grade of at least ``tail``) and ``grade`` (the likeliest), from whole
-    texts. A null text counts as empty; columns of these names are replaced."""
+    texts. Every row is scored, repeated ones alike; an empty table stays empty. A null text counts as empty; columns of these
+    names are replaced."""
     docs = docs.drop("expected_grade", "tail_probability", "grade")
     schema = docs.withColumns({"expected_grade": F.lit(0.0), "tail_probability": F.lit(0.0), "grade": F.lit(0)}).schema
     at = docs.columns.index(text_col)

@@ -199,19 +199,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50)
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from a bounded sample of the labelled documents: at most ``TOXIC_SAMPLE`` and ``ORDINARY_SAMPLE`` of them, those
-    of least hashed id. Null labels and labels of absent documents are left out. Whole texts are used."""
+    of least hashed id, whose whole texts reach the driver. Null labels and labels of absent documents are left out. An id with
+    both labels is toxic; an id with several documents gives its least text."""
     chosen = []
     for kind, n in ((1, TOXIC_SAMPLE), (0, ORDINARY_SAMPLE)):
-        own = labels.filter(F.col(label_col).cast("int") == kind).select(F.col(id_col).alias("_id"), F.lit(kind).alias("_label"))
+        own = labels.filter(F.col(label_col).cast("int") == kind).select(F.col(id_col).alias("_id"), F.lit(kind).alias("_label")).distinct()
         chosen.append(own.orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(n))
-    picked = F.broadcast(chosen[0].union(chosen[1]).dropDuplicates(["_id"]))  # at most the two bounds
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id").select("_id", "_text", "_label").collect()
+    picked = F.broadcast(chosen[0].union(chosen[1]).groupBy("_id").agg(F.max("_label").alias("_label")))  # at most the two bounds
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).collect()
     return fit([(r["_text"], r["_label"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_text"] or ""))])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with ``score_col``: the probability from 0 to 1 that the whole text is toxic. A null text counts as empty; a
-    column of that name is replaced."""
+    """``docs`` with ``score_col``: the probability from 0 to 1 that the whole text is toxic. Every row is scored, repeated ones
+    alike; an empty table stays empty. A null text counts as empty; a column of that name is replaced."""
     docs = docs.drop(score_col)
     schema = docs.withColumn(score_col, F.lit(0.0)).schema
     at = docs.columns.index(text_col)
