@@ -1,5 +1,6 @@
 """Chat, quality, toxicity, personal data and main text."""
 
+import itertools
 import random
 import re
 import time
@@ -50,6 +51,46 @@ def test_chunks_decode_like_one_pass(spark, monkeypatch):
     assert parts == whole and len(whole) == 4
 
 
+def test_ties_and_twins_have_one_result(spark):
+    model = chat.train(training(spark))
+    rows = [(1, 0, "user", "first\nand more"), (1, 0, "user", "second"), (1, None, "user", None), (1, 0, "user", "first\nand more"), (1, 5, "user", "x" * 200_000), (None, 0, "user", "")]
+    found = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        frame = spark.createDataFrame([(*r, "extra", 1) for r in rows], "conv_id long, turn long, role string, text string, line string, twin int").repartition(3)
+        found.add(tuple(sorted((str(r["conv_id"]), r["n_lines"], r["rendered"]) for r in chat.format_chat(chat.ranked_lines(chat.lines_of(frame, "conv_id", ["turn"], "text"), "chat"), model).collect())))
+    assert len(found) == 1
+    assert sum(n for _, n, _ in found.copy().pop()) == 8 and found.pop()[0][2].count("first\nand more\n") == 2
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_viterbi_like_all_paths(seed):
+    """Against every assignment of roles to up to six lines, with and without given states at the edges."""
+    rng = np.random.default_rng(seed)
+    score = lambda *shape: np.log(rng.dirichlet(np.ones(chat.N), shape)).tolist()
+    values = {f: ["true", "false"] if f == "opens" else ["a", "b", "c"] for f in chat.FEATURES}
+    model = chat.Model({(f, v): score() for f, own in values.items() for v in own[:2]}, {f: score() for f in chat.FEATURES}, score(2, chat.N + 1))
+    n = int(rng.integers(1, 7))
+    rows = {f: [values[f][k] for k in rng.integers(0, len(values[f]), n)] for f in chat.FEATURES}
+
+    def likelihood(path, before):
+        total = 0.0
+        for t, state in enumerate(path):
+            total += model.transitions[int(rows["opens"][t] == "true")][before][state]
+            total += sum(model.emissions.get((f, rows[f][t]), model.unseen[f])[state] for f in chat.FEATURES)
+            before = state
+        return total
+
+    summed = chat.summary(model, rows)
+    for before in range(chat.N + 1):
+        every = {p: likelihood(p, before) for p in itertools.product(range(chat.N), repeat=n)}
+        assert likelihood(chat.decode(model, rows, before, -1), before) == pytest.approx(max(every.values()))
+        for last in range(chat.N):
+            best = max(v for p, v in every.items() if p[-1] == last)
+            path = chat.decode(model, rows, before, last)
+            assert path[-1] == last and likelihood(path, before) == pytest.approx(best) == pytest.approx(summed[before, last])
+
+
 def test_chat_on_held_out_conversations(spark):
     rows = queries.op2_chat_format(spark, DATA).filter("held_out").agg(F.sum("n_agree"), F.sum("n_lines")).first()
     assert rows[0] > 0.9 * rows[1]
@@ -90,9 +131,86 @@ def test_thresholds_rise():
     assert np.corrcoef(p, grades)[0, 1] > 0.95
 
 
+def planted_grades(rng, n, weights, cuts):
+    x = rng.normal(size=(n, len(weights)))
+    u = x @ weights + rng.logistic(size=n)
+    return x, np.searchsorted(cuts, u)
+
+
+def test_fit_is_a_minimum_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    x, grades = planted_grades(rng, 1500, np.array([1.5, -1.0, 0.5]), np.array([-1.0, 0.2, 1.4]))
+    n, ids = len(grades), np.array([3, 11, 40])
+    balance = n / (4 * np.bincount(grades, minlength=4))[grades]
+    model = quality.fit(np.repeat(np.arange(n), 3), np.tile(ids, n), x.ravel(), grades, 4, steps=1500, rate=0.1, ridge=0.0)
+
+    def loss(w, cuts):
+        below = lambda k: 1 / (1 + np.exp(-(cuts[k] - x @ w)))
+        upto = np.stack([np.zeros(n), *[below(k) for k in range(3)], np.ones(n)])
+        return -(balance * np.log(upto[grades + 1, np.arange(n)] - upto[grades, np.arange(n)])).sum() / n
+
+    at = np.concatenate([model.weights[ids].astype(float), model.thresholds])
+    least = loss(at[:3], at[3:])
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 1e-4
+        slope = (loss((at + step)[:3], (at + step)[3:]) - loss((at - step)[:3], (at - step)[3:])) / 2e-4
+        assert abs(slope) < 2e-3
+    for _ in range(200):
+        other = at + rng.normal(size=6) * 0.05
+        assert loss(other[:3], np.sort(other[3:])) > least - 1e-6
+
+
+def test_tail_probabilities_are_calibrated():
+    rng = np.random.default_rng(5)
+    w, cuts = np.array([2.0, -1.0]), np.array([-1.0, 0.3])
+    x, grades = planted_grades(rng, 6000, w, cuts)
+    even = np.concatenate([np.flatnonzero(grades == k)[:800] for k in range(3)])  # as the sample: alike in number
+    model = quality.fit(np.repeat(np.arange(len(even)), 2), np.tile([5, 9], len(even)), x[even].ravel(), grades[even], 3, steps=600)
+    p = quality.probabilities(x[even] @ model.weights[[5, 9]].astype(float), model.thresholds)
+    for k in range(2):
+        for own in np.array_split(np.argsort(p[:, k]), 8):
+            assert abs(p[own, k].mean() - (grades[even][own] > k).mean()) < 0.08
+
+
+def test_quality_of_repeated_rows_and_grades(spark):
+    docs = spark.createDataFrame([(1, "plain words here"), (2, "POOR 123 !!!"), (None, "no id")], "doc_id long, text string")
+    rated = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, grade int")
+    once, often = quality.train(docs, rated, 2), quality.train(docs.union(docs).union(docs), rated.union(rated), 2)
+    assert np.array_equal(once.weights, often.weights) and np.array_equal(once.thresholds, often.thresholds)
+    both = quality.train(docs, rated.union(spark.createDataFrame([(1, 0)], rated.schema)), 2)
+    assert (both.thresholds > 0).all()  # all of the lowest grade
+
+
 # Toxicity -----------------------------------------------------------------------------------------------------------
 
 
+def test_gains_like_one_window_after_the_other():
+    """The features against plain compressions of each window alone."""
+    rng = random.Random(8)
+    words = ["river", "stone", "cloud", "zorkwit", "vlumkhead", "meadow", "letter"]
+    model = toxicity.Model(b" river stone cloud meadow letter " * 30, b" zorkwit  vlumkhead " * 20, [1.0, 0.0, 0.0, -3.0])
+    texts = [toxicity.plain(" ".join(rng.choice(words) for _ in range(k))) for k in (0, 1, 5, 40, 400)] + [b" " + b"x" * 500 + b" "]
+    buffer, of, start, length = toxicity.windows(texts)
+    without, with_toxic = toxicity._compressor(model.ordinary), toxicity._compressor(model.toxic + model.ordinary)
+    gains = [[] for _ in texts]
+    for t, a, n in zip(of, start, length, strict=True):
+        part = buffer[a : a + n]
+        gains[t].append(max(0, len(without.compress(part)) - len(with_toxic.compress(part))) if n else 0)
+    want = [[max(own), sum(x * x for x in own) ** 0.5, np.log(len(own)), 1.0] for own in gains]
+    np.testing.assert_allclose(toxicity.Scorer(model).features(texts), want)
+    assert max(gains[4]) > 0 and b"".join(buffer[a : a + n] for a, n in zip(start, length, strict=True)) == buffer
+
+
+def test_toxicity_training_of_repeated_rows_and_labels(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} " + ("zorkwit " * 3 if i % 2 else "")) for i in range(40)] + [(None, "x")], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    once, often = toxicity.train(docs, labels), toxicity.train(docs.union(docs), labels.union(labels))
+    assert once == often and once.toxic
+    both = toxicity.train(docs, labels.union(labels.withColumn("toxic", F.lit(1))))
+    assert both == toxicity.fit([(None, 1)] * 40)  # an id with both labels is toxic
+
+
 def test_toxicity_finds_the_words_of_labelled_documents(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("aeiou" if k % 2 else "bcdfglmnprst") for k in range(rng.randint(3, 8)))
