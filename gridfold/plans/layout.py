@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridfold.plans.contained import contained
 from gridfold.plans.stable import stable
 
 #: Share of a label's chunks that must be among another's for the two to be merged.
@@ -45,11 +46,7 @@ def cohorts(df: DataFrame, label: str, chunk: str) -> DataFrame:
 
 def containment(df: DataFrame, label: str, chunk: str, least: float = CONTAINMENT) -> DataFrame:
     """Pairs of labels of which at least the share ``least`` of the chunks of the first are chunks of the second."""
-    pairs = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(chunk).alias("chunk")).distinct()
-    sizes = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    other = pairs.select(F.col("label").alias("within"), "chunk")
-    shared = pairs.join(other, "chunk").filter("label <> within").groupBy("label", "within").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.join(sizes, "label").select("label", "within", (F.col("shared") / F.col("n")).alias("containment")).filter(F.col("containment") >= least)
+    return contained(df, label, chunk, least)
 
 
 def merged_cohorts(df: DataFrame, label: str, chunk: str, least: float = CONTAINMENT) -> DataFrame:

@@ -1,10 +1,13 @@
+import datetime
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import gridfold as g
-from gridfold.plans import layout
+from gridfold.plans import contained, layout
 from gridfold.streaming.incremental import stream_reduce
 
 
@@ -102,3 +105,50 @@ def test_merged_cohorts_settle_ties_by_the_least_label(spark):
     df = spark.createDataFrame(rows, "label int, chunk int")
     found = [tuple(r) for r in layout.merged_cohorts(df, "label", "chunk").collect()]
     assert found == [(1, [1, 2, 3])]
+
+
+def shuffled(spark):
+    """Bytes that all stages so far wrote for exchanges."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_containment_moves_no_row_for_each_pair_that_shares_a_chunk(spark):
+    rows = [(k, c) for k in range(800) for c in range(40) if (k * 7 + c * c * 31 + k * c) % 4]
+    df = spark.createDataFrame(rows, "label int, chunk long").repartition(8)
+    before = shuffled(spark)
+    found = {(r["label"], r["within"]): r["containment"] for r in layout.containment(df, "label", "chunk", 0.9).collect()}
+    assert shuffled(spark) - before < 2_000_000
+    sets = [frozenset(c for _, c in g) for _, g in itertools.groupby(rows, lambda r: r[0])]
+    assert found == {(a, b): n / len(x) for a, x in enumerate(sets) for b, y in enumerate(sets) if a != b and (n := len(x & y)) / len(x) >= 0.9}
+
+
+TIME = datetime.datetime(2020, 1, 1)
+CHUNKS = [("long", lambda c: c), ("string", lambda c: f"c{c}"), ("double", lambda c: math.nan if c == 3 else c / 3), ("struct<start:long,nth:int>", lambda c: (c // 5, c % 5)), ("timestamp", lambda c: TIME + datetime.timedelta(hours=c))]
+
+
+@pytest.mark.parametrize(("kind", "as_chunk"), CHUNKS)
+@pytest.mark.parametrize("least", [0, 0.4, 0.75, 1])
+def test_containment_in_many_blocks_like_all_pairs(spark, monkeypatch, kind, as_chunk, least):
+    for name, n in (("LEAST", 40), ("MOST", 60), ("ASKED", 30)):
+        monkeypatch.setattr(contained, name, n)
+    rng, sets = random.Random(5), {}
+    for k in range(90):  # near in time, spread, one chunk that most have, one label of many chunks, null chunks, no chunk but null
+        near = rng.randrange(60)
+        sets[f"k{k}"] = {*(near + rng.randrange(4) for _ in range(3)), *([3] if k % 3 else []), *(rng.sample(range(64), 20) if k % 9 == 0 else []), *([None] if k % 7 == 0 else [])}
+    sets |= {"all": set(range(64)), "null": {None}}
+    rows = [(k, None if c is None else as_chunk(c)) for k, s in sets.items() for c in s for _ in range(2)] + [(None, as_chunk(1))]
+    rng.shuffle(rows)
+    found = [tuple(r) for r in layout.containment(spark.createDataFrame(rows, f"label string, chunk {kind}"), "label", "chunk", least).collect()]
+    want = [(a, b, n / len(x)) for a, x in sets.items() for b, y in sets.items() if a != b and (n := len((x & y) - {None})) and n / len(x) >= least]
+    assert sorted(found) == sorted(want)
+
+
+def test_containment_of_nothing_and_of_a_chunk_that_all_labels_share(spark):
+    empty = layout.containment(spark.createDataFrame([], "label date, chunk int"), "label", "chunk")
+    assert empty.collect() == [] and empty.dtypes == [("label", "date"), ("within", "date"), ("containment", "double")]
+    df = spark.range(20_000).selectExpr("id AS label", "explode(array(-1, id div 2)) AS chunk")
+    found = layout.containment(df, "label", "chunk")
+    assert found.count() == 20_000 and found.filter("within <> label ^ 1 OR containment <> 1").count() == 0
